@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, counting
+from foliospark.llm import bpe, chat, counting, language, mixing, substring, suffix
 from foliospark.llm.common import table
 
 
@@ -15,13 +16,61 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.interleave(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) form pair k."""
+    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
+    side = F.pmod("conv_id", F.lit(2))
+    pairs = chat.format_preferences(turns.where(side == 0), turns.where(side == 1))
+    trained = [F.aggregate(f"{x}_mask", F.lit(0), lambda a, m: a + m["end"] - m["first"]).cast("long").alias(f"{x}_trained") for x in ("chosen", "rejected")]
+    return pairs.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), *[F.sha2(x, 256).alias(f"{x}_sha256") for x in ("prompt", "chosen", "rejected")], *trained)
+
+
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op5_language, op6_chat, op7_suffix, op8_token_counts, op9_substring)}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat": """
+with t as (
+  select conv_id // 2 as pair_id, conv_id % 2 as side, role, text,
+         row_number() over (partition by conv_id order by turn, role, text) as i,
+         '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) as shown,
+         case when role = 'assistant' then length(coalesce(text, '')) + 11 else 0 end as trained
+  from conversations where conv_id is not null),
+a as (select * from t where side = 0), b as (select * from t where side = 1),
+z as (
+  select coalesce(a.pair_id, b.pair_id) as pair_id, coalesce(a.i, b.i) as i,
+         a.i is null or b.i is null or a.role is distinct from b.role or a.text is distinct from b.text as differs
+  from a full join b on a.pair_id = b.pair_id and a.i = b.i),
+k as (select pair_id, coalesce(min(i) filter (where differs) - 1, max(i)) as n from z group by pair_id)
+select k.pair_id, k.n as n_prompt_turns,
+       sha256(coalesce(string_agg(shown, '' order by i) filter (where side = first_side and i <= k.n), '')) as prompt_sha256,
+       sha256(coalesce(string_agg(shown, '' order by i) filter (where side = 0 and i > k.n), '')) as chosen_sha256,
+       sha256(coalesce(string_agg(shown, '' order by i) filter (where side = 1 and i > k.n), '')) as rejected_sha256,
+       cast(coalesce(sum(trained) filter (where side = 0 and i > k.n), 0) as bigint) as chosen_trained,
+       cast(coalesce(sum(trained) filter (where side = 1 and i > k.n), 0) as bigint) as rejected_trained
+from k join (select *, min(side) over (partition by pair_id) as first_side from t) t using (pair_id)
+group by k.pair_id, k.n""",
+}
