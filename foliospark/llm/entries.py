@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, chat, counting, language, mixing, substring, suffix
+from foliospark.llm import bpe, chat, counting, jaccard, language, mixing, substring, suffix
 from foliospark.llm.common import table
 
 
@@ -50,7 +50,11 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op5_language, op6_chat, op7_suffix, op8_token_counts, op9_substring)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op5_language, op6_chat, op7_suffix, op8_token_counts, op9_substring, op10_jaccard)}
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": """
 with t as (
