@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, chat, counting, jaccard, language, mixing, substring, suffix
+from foliospark.llm import bpe, chat, counting, hamming, hnsw, jaccard, language, mixing, substring, suffix
 from foliospark.llm.common import table
 
 
@@ -16,10 +16,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(table(spark, sf_dir, "documents"))
 
 
+def op3_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -54,7 +62,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op5_language, op6_chat, op7_suffix, op8_token_counts, op9_substring, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_hnsw, op2_mixing, op3_hamming, op4_bpe, op5_language, op6_chat, op7_suffix, op8_token_counts, op9_substring, op10_jaccard)}
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": """
 with t as (
