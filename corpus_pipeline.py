@@ -1,8 +1,66 @@
-"""The corpus pipeline (part of the ``llm`` subpackage)."""
+"""The corpus pipeline (part of the ``llm`` subpackage): documents in, token ids out.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+back as the next stage's ``docs``.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.llm import bpe, jaccard, language, mixing, suffix
+from foliospark.llm.anchors import BROADCAST_ROWS, small
+from foliospark.llm.common import materialize, table
+from foliospark.llm.entries import vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no letters, or no language with half of the letters."""
+    return language.keep_identified(docs.select(COLUMNS), language.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group linked by the Jaccard join."""
+    drop = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(small(materialize(drop), BROADCAST_ROWS), "doc_id", "left_anti")
+
+
+def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts byte strings of 200 and more that occur elsewhere, at whole characters."""
+    cut = suffix.remove_repeats(docs, keep_text=True, keep=["lang", "source"])
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts all documents in the order of the Pfair schedule: files, and rows within, follow the slots."""
+    slots = mixing.interleave(docs, carry=[c for c in COLUMNS if c not in ("doc_id", "source")])
+    return slots.repartitionByRange("slot").sortWithinPartitions("slot", "doc_id").select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left of each document, and digests of the ids and their decoding."""
+    return bpe.encode(docs, vocabulary("word_bpe_49k.json"), keep_ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_text", repeated_text),
+    ("mix", mix),
+    ("encode", encode),
+]
+
+#: Language identification and the schedule cannot be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs)
+    return docs

@@ -97,9 +97,10 @@ class Repeats:
     keep_first: bool
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), F.hash("text").alias("fp"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *(keep or []))
+    return rows.select("doc_id", "text", *(keep or []), F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), F.hash("text").alias("fp"))
 
 
 ANCHOR = "h long, sh long, k long, fp int, st int, nw int, a int"
@@ -145,7 +146,8 @@ def windows(docs: DataFrame, spec: Repeats, broadcast_rows: int = BROADCAST_ROWS
     wanted = materialize(items.groupBy("k", "fp").agg(F.collect_list(F.struct("shard", "item")).alias("wanted")))
     regions = docs.select("k", "fp", "text").join(small(wanted, broadcast_rows // 4), ["k", "fp"])
     found = materialize(_compare(_regions(regions, spec), spec))
-    kinds = kinds.join(found, ["h", "sh"], "left").select("h", "sh", "cnt", F.col("rep.k").alias("least"), "runs")
+    # Written, so that the join below reads plain exchanges on both sides and adaptive execution can split a hot snippet.
+    kinds = materialize(kinds.join(found, ["h", "sh"], "left").select("h", "sh", "cnt", F.col("rep.k").alias("least"), "runs"))
     every = F.array(F.struct(F.col("st").alias("first"), F.col("nw").alias("n")))
     some = F.transform("runs", lambda r: F.struct((r["first"] + F.col("st")).alias("first"), r["n"].alias("n")))
     whole = (F.col("k") > F.col("least")) if spec.keep_first else (F.col("cnt") > 1)
@@ -225,6 +227,6 @@ def merged(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text and runs of every row; the join shuffles both sides on the row's key."""
-    return docs.join(found, ["k", "fp"], "left").select("doc_id", "text", "runs")
+def with_windows(docs: DataFrame, found: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, text, runs and the kept columns of every row; the join shuffles both sides on the row's key."""
+    return docs.join(found, ["k", "fp"], "left").select("doc_id", "text", "runs", *(keep or []))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_DOCS, MAX_GRAMS, SWITCH, CACHE = 400, 200_000, 20.0, 400_000
@@ -207,3 +208,23 @@ def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
         return []
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
     return [{"first": a, "last": b - 1, "lang": langs[path[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that have a language: not ``und``, and most of the text's
+    letters (a share of ``min_score``) in words of one language.  A null lang takes the prediction."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = LanguageModel(model.langs, model.grams, model.table, model.scripts, model.switch) if model else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                words = [WORD.findall((t or "").lower()) for t in part.column(text_at).to_pylist()]
+                got = list(own.label(words)) if own else [("und", 0.0, None)] * len(words)
+                cols = [*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, "__lang", "__score"])
+
+    kept = docs.mapInArrow(run, schema).where((F.col("__lang") != "und") & (F.col("__score") >= min_score))
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)

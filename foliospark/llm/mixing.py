@@ -81,17 +81,17 @@ def temper(counts: dict, power: float = 0.5) -> dict:
     return {k: n**power for k, n in counts.items()}
 
 
-def interleave(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def interleave(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK, period: int = PERIOD, carry: list[str] | None = None) -> DataFrame:
     """doc_id, source, block, phase, release, deadline, slot of every row.
 
     ``weights`` maps sources to positive numbers (default: square root of their sizes; a source
     without a weight gets the least one given).  A null source is a source of its own, and
     rows with a null doc_id come first in theirs.  Repeated rows each take a place.  An empty table gives an
-    empty result.  Extra columns are ignored.  The driver holds one count a source and one period
+    empty result.  Columns named in ``carry`` go along; others are ignored.  The driver holds one count a source and one period
     of slots a phase."""
     spark: SparkSession = docs.sparkSession
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("k"), key.alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("k"), key.alias("h"), *(carry or []))
     counts = {r["k"]: r["n"] for r in docs.select(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
     given = {("null" if k is None else f"s{k}"): w for k, w in weights.items()} if weights else temper(counts)
     share = {k: given.get(k, min(given.values())) for k in counts}
@@ -105,14 +105,14 @@ def interleave(docs: DataFrame, weights: dict | None = None, block_docs: int = B
     before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("k", "bucket", before.alias("before"))
     within = F.row_number().over(Window.partitionBy("k", "bucket").orderBy("h", "doc_id")) - 1
-    ranked = rows.withColumn("within", within).join(offsets, ["k", "bucket"]).select("doc_id", "source", "k", F.floor((F.col("before") + F.col("within")) / block_docs).alias("block"))
+    ranked = rows.withColumn("within", within).join(offsets, ["k", "bucket"]).select("doc_id", "source", *(carry or []), "k", F.floor((F.col("before") + F.col("within")) / block_docs).alias("block"))
     # One row a source: its size is bounded by the period and the number of sources, not by the data.
     placed = ranked.join(F.broadcast(plans), "k")
     phase = F.size(F.filter("parts", lambda p: p["first"] <= F.col("block"))) - 1
     placed = placed.withColumn("phase", phase).withColumn("p", F.col("parts")[F.col("phase")]).withColumn("local", F.col("block") - F.col("p.first"))
     q, size, local = F.col("p.q"), F.col("p.period"), F.col("local")
     return placed.select(
-        "doc_id", "source", "block", "phase",
+        "doc_id", "source", *(carry or []), "block", "phase",
         (F.col("p.base") + F.floor(local * size / q)).cast("long").alias("release"),
         (F.col("p.base") + F.ceil((local + 1) * size / q)).cast("long").alias("deadline"),
         (F.col("p.base") + F.floor(local / q) * size + F.get(F.col("p.slots"), (local % q).cast("int"))).cast("long").alias("slot"),

@@ -58,17 +58,17 @@ def spec(length: int = LENGTH, gram: int = GRAM) -> A.Repeats:
     )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, broadcast_rows: int = A.BROADCAST_ROWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, broadcast_rows: int = A.BROADCAST_ROWS, keep: list[str] | None = None) -> DataFrame:
     """doc_id, text and the runs of repeated windows of each document, one row a row of ``docs``.
 
     A null text is empty; a text shorter than ``length`` bytes has no window; repeated rows repeat each other
     (so they lose all they have if long enough); null ids are rows like others; extra columns are ignored."""
-    own = A.keyed(docs)
-    return A.with_windows(own, A.windows(own, spec(length, gram), broadcast_rows))
+    own = A.keyed(docs, keep)
+    return A.with_windows(own, A.windows(own, spec(length, gram), broadcast_rows), keep)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, broadcast_rows: int = A.BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and on demand kept_text.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, broadcast_rows: int = A.BROADCAST_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, on demand kept_text, and the columns named in ``keep``.
 
     ``kept_text`` is UTF-8 again: a character that a span cuts is kept whole."""
 
@@ -88,10 +88,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                     rows.append((len(body), sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), _whole(body, spans) if keep_text else None))
                 cols = [part.column(0)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-                yield pa.RecordBatch.from_arrays(cols[: 5 + keep_text], names=names[: 5 + keep_text])
+                more = [part.column(3 + i) for i in range(len(keep or []))]
+                yield pa.RecordBatch.from_arrays(cols[: 5 + keep_text] + more, names=names[: 5 + keep_text] + list(keep or []))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return repeated_spans(docs, length, gram, broadcast_rows).mapInArrow(run, schema)
+    spans = repeated_spans(docs, length, gram, broadcast_rows, keep)
+    schema += "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep or [])
+    return spans.mapInArrow(run, schema)
 
 
 def _whole(body: bytes, spans: list[tuple[int, int]]) -> str:
