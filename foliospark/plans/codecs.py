@@ -1,2 +1,85 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries through the binary kernels: what is packed and unpacked again must be what went in."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.codecs import bzz, container, g4, iff, iw44, jb2, layers
+from foliospark.plans.common import table
+from foliospark.sources import documents as D
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def bzz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _turns(spark, sf_dir).withColumn("packed", D.bzz_encode(F.encode("text", "UTF-8")))
+    t = t.withColumn("raw", D.bzz_decode(F.col("packed")))
+    return t.select("conv_id", "turn", F.sha2("raw", 256).alias("text_sha256"), F.octet_length("raw").cast("long").alias("n_bytes"))
+
+
+def container_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of one page a turn, written as files and read back as tables."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for turns in batch.column(1).to_pylist():
+                parts = []
+                for t in turns:
+                    page = {"zone_id": 0, "parent_id": None, "kind": "page", "x": 0, "y": 0, "w": 1000, "h": 1400, "text": t["text"]}
+                    raw = layers.write_text(t["text"], [page], 1400)
+                    parts.append(("page", f"p{t['turn']:04d}", iff.form("DJVU", iff.Chunk("INFO", container.write_info(1000, 1400, 150)), iff.Chunk("TXTz", bzz.encode(raw)))))
+                out.append(container.bundle(parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+
+    turns = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    files = turns.select(F.col("conv_id").cast("string").alias("path"), "turns").mapInArrow(build, "path string, content binary")
+    return D.texts(files).select(F.col("path").cast("long").alias("conv_id"), F.col("page_index").cast("long").alias("page_index"), F.sha2("text", 256).alias("text_sha256"), "error")
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255)).cast("int")).alias("g"))
+
+
+def bilevel_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of 16 x 4 through the symbol coder and the facsimile coder: their ink afterwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = [(np.array(g).reshape(4, 16) < 128).astype(np.uint8) for g in batch.column(1).to_pylist()]
+            ink = [[int(read(write(m)).sum()) for m in masks] for write, read in ((jb2.encode, jb2.decode), (jb2.encode_symbols, jb2.decode), (g4.encode, g4.decode))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in ink]], names=["vec_id", "tiles", "symbols", "facsimile"])
+
+    return _rasters(spark, sf_dir).mapInArrow(run, "vec_id long, tiles long, symbols long, facsimile long")
+
+
+def wavelet_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray rasters through the wavelet coder: whether every level is within 2 of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for g in batch.column(1).to_pylist():
+                img = np.array(g, np.uint8).reshape(4, 16, 1)
+                out = iw44.decode(iw44.encode(img, slices=160, a_chunk=20, gray=True))[:, :, :1]
+                ok.append(bool((np.abs(img.astype(int) - out) <= 2).all()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok)], names=["vec_id", "close"])
+
+    return _rasters(spark, sf_dir).mapInArrow(run, "vec_id long, close boolean")
+
+
+QUERIES = {f.__name__: f for f in (bzz_roundtrip, container_text, bilevel_roundtrip, wavelet_error)}
+_INK = "cast(len(list_filter(embedding, lambda v: least(greatest(floor((cast(v as double) + 0.5) * 255), 0), 255) < 128)) as bigint)"
+ORACLE_SQL = {
+    "bzz_roundtrip": "select conv_id, turn, sha256(coalesce(text, '')) as text_sha256, cast(strlen(coalesce(text, '')) as bigint) as n_bytes from conversations",
+    "container_text": "select conv_id, row_number() over (partition by conv_id order by turn, text) - 1 as page_index, sha256(coalesce(text, '')) as text_sha256, cast(null as varchar) as error from conversations",
+    "bilevel_roundtrip": f"select vec_id, {_INK} as tiles, {_INK} as symbols, {_INK} as facsimile from embeddings",
+    "wavelet_error": "select vec_id, true as close from embeddings",
+}
