@@ -83,7 +83,7 @@ def by_shard(index: DataFrame, queries: DataFrame, shards: int, parts: int, inde
                     if vs.shape[1] == width:
                         yield from ask(index_, ids[i : i + 512], vs[i : i + 512])
 
-    return left.unionByName(right).repartition("shard", "part").sortWithinPartitions("shard", "part", "role").mapInArrow(run, schema)
+    return left.unionByName(right).repartitionByRange(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "role").mapInArrow(run, schema)
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
