@@ -21,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's own switch to delete the shuffle files of a query when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage of df: writes it as Parquet to the shared folder and reads it back.
 
@@ -28,5 +32,10 @@ def materialize(df: DataFrame) -> DataFrame:
     they are compressed and columnar, so later readers prune columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")  # what is written needs its shuffles no more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -224,7 +224,7 @@ def test_pipeline(spark, tmp_path):
     from tests.llm.test_text_operators import brute_bytes, brute_components
 
     rows = [(r["doc_id"], r["text"]) for r in a.collect()]
-    want = brute_components(rows, 5, 80)
+    want = brute_components(rows, 3, 90)
     assert {r["doc_id"] for r in b.collect()} == {i for i, x in want.items() if i == x}
     rows = [(r["doc_id"], r["text"]) for r in b.collect()]
     removed = {x[0]: x[1] - x[2] for x in brute_bytes(rows, 200)}
