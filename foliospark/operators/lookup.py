@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def with_dictionary(pages: DataFrame, dictionaries: DataFrame, include: str, name: str, strict: bool = False) -> DataFrame:
@@ -47,3 +48,32 @@ def nearest_symbol(symbols: DataFrame, size: str, bits: str, key: str, budget: i
     pairs = a.join(b, on).select(F.col("a.size").alias("size"), F.col("a.key").alias("key"), F.col("b.key").alias("near"), hamming(F.col("a.bits"), F.col("b.bits")).alias("distance")).where(F.col("distance") <= budget)
     best = pairs.groupBy("size", "key").agg(F.min(F.struct("distance", "near")).alias("m"))
     return best.select("size", "key", F.col("m.near").alias("near"), F.col("m.distance").alias("distance"))
+
+
+def unlike_size_nearest(symbols: DataFrame, most: int) -> DataFrame:
+    """For each symbol the earlier one of another size, at most ``most`` wider and higher, that it is nearest to.
+
+    symbols: doc_id, sym_idx, w, h, data (one bit a pixel, rows padded).  A band join: sizes fall into cells of
+    ``most`` + 1, and a symbol meets the cells around its own within its document.  The distance counts
+    the pixels that differ after scaling the other symbol to this one's size by nearest samples."""
+    cell = most + 1
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    own = symbols.select("doc_id", "sym_idx", "w", "h", "data", F.floor(F.col("w") / cell).alias("cw"), F.floor(F.col("h") / cell).alias("ch"))
+    probe = own.withColumn("s", F.explode(around)).withColumn("cw", F.col("cw") + F.col("s.a")).withColumn("ch", F.col("ch") + F.col("s.b")).drop("s")
+    other = own.select("doc_id", "cw", "ch", F.col("sym_idx").alias("near"), F.col("w").alias("nw"), F.col("h").alias("nh"), F.col("data").alias("ndata"))
+    pairs = probe.join(other, ["doc_id", "cw", "ch"]).where((F.col("near") < F.col("sym_idx")) & (F.abs(F.col("w") - F.col("nw")) <= most) & (F.abs(F.col("h") - F.col("nh")) <= most) & ((F.col("w") != F.col("nw")) | (F.col("h") != F.col("nh"))))
+
+    @F.pandas_udf("long")
+    def apart(w: pd.Series, h: pd.Series, d: pd.Series, nw: pd.Series, nh: pd.Series, nd: pd.Series) -> pd.Series:
+        def bits(data: bytes, width: int, height: int) -> np.ndarray:
+            return np.unpackbits(np.frombuffer(data, np.uint8).reshape(height, -1), axis=1)[:, :width]
+
+        out = []
+        for a, b, x, c, e, y in zip(w, h, d, nw, nh, nd, strict=True):
+            scaled = bits(y, c, e)[np.arange(b) * e // b][:, np.arange(a) * c // a]
+            out.append(int((bits(x, a, b) != scaled).sum()))
+        return pd.Series(out)
+
+    pairs = pairs.withColumn("distance", apart("w", "h", "data", "nw", "nh", "ndata"))
+    best = pairs.groupBy("doc_id", "sym_idx").agg(F.min(F.struct("distance", "near")).alias("m"))
+    return best.select("doc_id", "sym_idx", F.col("m.near").alias("near"), F.col("m.distance").alias("distance"))
