@@ -63,5 +63,5 @@ def merge_renumber(parts: DataFrame, document: str, page: str) -> DataFrame:
 def page_range(text: Column) -> Column:
     """struct<start, end> (from 0, half open) of ``N-M`` counted from 1; null if malformed."""
     ok = text.rlike("^[0-9]+-[0-9]+$")
-    a, b = F.split(text, "-")[0].cast("int"), F.split(text, "-")[1].cast("int")
+    a, b = (F.split(text, "-")[i].try_cast("int") for i in (0, 1))
     return F.when(ok & (a >= 1) & (a <= b), F.struct((a - 1).alias("start"), b.alias("end")))
