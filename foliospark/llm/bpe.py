@@ -20,10 +20,11 @@ import struct
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LONG, LEAF, CACHE = 2048, 256, 300_000
+LONG, LEAF, CACHE = 2048, 256, 100_000
 #: Printable ASCII and Latin-1 letters: composed already, and lower-cased alike everywhere.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
@@ -184,8 +185,8 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 coded = list(bpe.encode_batch(part.column(1).to_pylist()))
                 out = [
                     part.column(0),
@@ -195,7 +196,8 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_text:
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    out.append(pa.array([list(struct.unpack(f"<{len(i) // 4}I", i)) for i, _ in coded], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *[len(i) // 4 for i, _ in coded]]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([i for i, _ in coded]), "<i4"))))
                     names.append("ids")
                 if keep_text:
                     out.append(pa.array([d.decode() for _, d in coded]))

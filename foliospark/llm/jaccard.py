@@ -27,7 +27,7 @@ from foliospark.llm.anchors import small
 from foliospark.llm.common import materialize
 from foliospark.llm.components import Forest, components
 
-WORDS, PERCENT, CACHE, BLOCK, LEAF, BROADCAST_ROWS = 3, 90, 500_000, 1024, 32, 1_000_000
+WORDS, PERCENT, CACHE, BLOCK, LEAF, BROADCAST_ROWS = 3, 90, 200_000, 1024, 32, 1_000_000
 #: Of the sizes in a class; wider classes have smaller parts, which unlike documents share sooner.
 RATIO = 1.25
 

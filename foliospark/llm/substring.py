@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from foliospark.llm import anchors as A
 
-LENGTH, GRAM, CACHE = 50, 16, 500_000
+LENGTH, GRAM, CACHE = 50, 16, 200_000
 
 
 class _Hashes(dict):
