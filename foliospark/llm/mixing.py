@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK, PERIOD, BUCKET_ROWS, HEX = 64, 1024, 20_000, 6
+BLOCK, PERIOD, BUCKET_ROWS, HEX = 64, 1024, 4_000, 8
 
 
 def quantise(weights: dict, period: int) -> dict:
