@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or no language with half of the letters."""
+    """Drops documents without a language: no letters, or no language with three tenths of the letters (a text half in one and half in another stays)."""
     return language.keep_identified(docs.select(COLUMNS), language.fit(docs))
 
 

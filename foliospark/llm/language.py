@@ -210,8 +210,8 @@ def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
     return [{"first": a, "last": b - 1, "lang": langs[path[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that have a language: not ``und``, and most of the text's
+def keep_identified(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, that have a language: not ``und``, and enough of the text's
     letters (a share of ``min_score``) in words of one language.  A null lang takes the prediction."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
     text_at = docs.columns.index("text")
