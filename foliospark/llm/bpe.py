@@ -164,16 +164,6 @@ class TreeBpe:
             yield b"".join([x for x, _ in found]), b" ".join([y for _, y in found if y])
 
 
-_coders: dict[tuple, TreeBpe] = {}
-
-
-def coder(path: str) -> TreeBpe:
-    """One coder a Python worker, kept between tasks."""
-    if path not in _coders:
-        _coders[path] = TreeBpe(path)
-    return _coders[path]
-
-
 def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """Encodes and decodes the whole ``text`` of each document.
 
@@ -183,7 +173,8 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_text:
     ignored.  No shuffle: one pass over the scan, memory bounded by a batch and the word cache."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(vocabulary)
+        # One coder a task: kept for a worker's life, its tables would stay beside the next stage's.
+        bpe = TreeBpe(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
