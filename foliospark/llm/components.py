@@ -60,22 +60,24 @@ def contract(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest id reachable) of every id in links (a, b).
 
-    Each round takes the least label among neighbours, then the label's own label, so chains
-    shorten by doubling.  Labels live in the shared folder between rounds; aggregations are
-    partial, so a node of many links is no hot spot."""
+    Labels point to smaller ids of the same component.  Each round takes for every node the least label's label
+    among its neighbours, for the node itself and for the one that it points to, so whole trees hook to smaller
+    ones, and then the label's own label, so trees grow flat by doubling.  Rounds go on until nothing changes.
+    Labels live in the shared folder between rounds; aggregations are partial, so a node of many links is no hot spot."""
     edges = materialize(contract(links).where("a <> b").distinct())
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        own = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = materialize(new.join(own, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        changed = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            break
-    return labels
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
+    while True:
+        own = labels.select(F.col("node").alias("up"), F.col("up").alias("component"))
+        ends = materialize(labels.join(own, "up").select("node", "up", "component"))
+        near = both.join(ends.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        least = ends.join(near, ends.node == near.a).select("node", "up", F.least("component", "m").alias("m"))
+        hooked = least.groupBy("up").agg(F.min("m").alias("hook")).withColumnRenamed("up", "root")
+        new = least.join(hooked, least.node == hooked.root, "left").select("node", F.col("up").alias("old"), F.least("m", F.coalesce("hook", "m")).alias("up"))
+        new = materialize(new)
+        if not new.where("up <> old").limit(1).count():
+            return new.select("node", F.col("up").alias("component"))
+        labels = new.select("node", "up")

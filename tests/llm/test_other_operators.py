@@ -30,6 +30,14 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for x in up)
 
 
+def test_components_of_a_long_chain(spark):
+    ids = list(range(1000))
+    random.Random(5).shuffle(ids)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long").repartition(16)
+    got = {r["node"]: r["component"] for r in components.components(chain).collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+
+
 # -- 1 and 3: vectors -------------------------------------------------------------
 @pytest.fixture(scope="module")
 def vectors(spark):
