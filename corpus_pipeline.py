@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group linked by the Jaccard join, with the measure of its contract."""
-    drop = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """Keeps the document of the smallest id of each group linked by five-word shingles of a similarity of 0.8 and more."""
+    drop = jaccard.jaccard_components(docs, words=5, percent=80, rare=True).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(COLUMNS).join(small(materialize(drop), BROADCAST_ROWS), "doc_id", "left_anti")
 
 

@@ -10,6 +10,11 @@ threshold differ in at most D shingles, so of P = D + 1 + spare parts of the has
 ``spare`` + 1 at least hold the same shingles in both.  Documents that share a part's fingerprint are connected into
 candidate groups.  (Empty parts are no evidence: a document gives their fingerprints only if it has more of them than ``spare``.)
 Equal sets are one point.  Groups above ``BLOCK`` points are compared block by block.
+
+At lower thresholds the parts are so small that passages in common connect unlike documents.  There
+``rare`` takes other marks that cannot miss a pair either: in any one order of all shingles, two sets that
+link share one of their first n - ceil(n * percent / 100) + 1.  The order is the lower half of the hash space by number
+of documents, then the upper half; so a document gives marks only if few of its shingles are its own.
 """
 
 from __future__ import annotations
@@ -105,6 +110,106 @@ def fingerprints(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def head(own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The shingles of a set that may be among the first in the order, and how many of these are beyond them."""
+    first = len(own) + percent * len(own) // -100 + 1
+    n = max(int(np.searchsorted(own, np.uint64(1 << 63))), first)
+    return own[:n], n - first
+
+
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return (((_mix(h) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(bucket: np.ndarray, kind: int, cols: list[np.ndarray]) -> Iterator[tuple]:
+    """One row a bucket: (bucket, kind, bytes of each column)."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, cols = bucket[order], [c[order] for c in cols]
+    cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(bucket[a]), kind, *(c[a:b].tobytes() for c in cols)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Of each bucket in turn the columns of kind 0 and of kind 1."""
+    last, held = None, ([], [])
+
+    def joined() -> tuple[list[np.ndarray], list[np.ndarray]]:
+        return tuple([np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate(PACKED)] for rows in held)
+
+    for batch in batches:
+        for bucket, kind, *cols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last and last is not None:
+                yield joined()
+                held = ([], [])
+            last = bucket
+            held[kind].append(cols)
+    if last is not None:
+        yield joined()
+
+
+#: Shingle, document (the first half of its set's digest) and a number of each packed entry.
+PACKED = (np.uint64, np.int64, np.int32)
+PACKED_ROW = "bucket long, kind int, h binary, d binary, x binary"
+BUCKET_SHINGLES = 1_000_000
+
+
+def rare_marks(own: DataFrame, total: int, words: int, percent: int) -> DataFrame:
+    """s1, mark: of each distinct set the first shingles in the order that other sets hold too."""
+    n_buckets = max(1, -(-total // BUCKET_SHINGLES))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "kind", "h", "d", "x"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                heads, of, beyond = [], [], []
+                for text in batch.column(0).slice(at, 512).to_pylist():
+                    if len(s := shingles(text, words)):
+                        h, more = head(s, percent)
+                        heads.append(h)
+                        of.append((xxhash.xxh3_128_intdigest(s) >> 64) - (1 << 63))
+                        beyond.append(more)
+                if not heads:
+                    continue
+                h, d = np.concatenate(heads), np.array(of, np.int64)
+                n, more = np.array([len(x) for x in heads]), np.array(beyond, np.int32)
+                rows = list(_packed(_bucket(h, n_buckets), 0, [h, np.repeat(d, n), np.zeros(len(h), np.int8)]))
+                yield batch_of([(b, kind, x, y, b"") for b, kind, x, y, _ in rows] + list(_packed(_bucket(d.view(np.uint64), n_buckets), 1, [d.view(np.uint64), d, more])))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (h, d, _), (_, of, more) in _buckets(batches):
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            once = np.ones(len(h), bool)  # equal sets count once
+            once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            h, d = h[once], d[once]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            docs = np.diff(np.append(first, len(h)))
+            docs = np.repeat(docs, docs).astype(np.int32)
+            h, d, docs = h[docs > 1], d[docs > 1], docs[docs > 1]
+            rows = list(_packed(_bucket(d.view(np.uint64), n_buckets), 0, [h, d, docs]))
+            yield batch_of(rows + list(_packed(_bucket(of.view(np.uint64), n_buckets), 1, [of.view(np.uint64), of, more])))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (h, d, docs), (_, of, more) in _buckets(batches):
+            order = np.lexsort((h, docs, d))
+            h, d = h[order], d[order]
+            of, at = np.unique(of, return_index=True)
+            first = np.searchsorted(d, of)
+            shared = np.searchsorted(d, of, side="right") - first
+            take = np.maximum(shared - more[at], 0)
+            own = np.repeat(first - np.cumsum(take) + take, take) + np.arange(take.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(h[own].view(np.int64))], names=["s1", "mark"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("bucket").sortWithinPartitions("bucket")
+
+    return dealt(dealt(own.where("k is not null").select("text").mapInArrow(cut, PACKED_ROW)).mapInArrow(count, PACKED_ROW)).mapInArrow(choose, "s1 long, mark long")
+
+
 class CountTree:
     """An R-tree over count vectors in order of size: leaves of ``LEAF`` points under one level of nodes."""
 
@@ -159,12 +264,13 @@ def link_group(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tup
     return forest.links()
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS, rare: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each row.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets.  No words or a
     null text: an empty set, linked with nothing.  Rows of one id count as one document of that
-    component; a null id links with nothing and has a null component.  Extra columns are ignored."""
+    component; a null id links with nothing and has a null component.  Extra columns are ignored.
+    ``rare`` finds candidates by shingles of few documents instead of parts (same result)."""
     own = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +284,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
                     n.append(len(own))
                     s1.append((h >> 64) - (1 << 63))
                     s2.append((h & ((1 << 64) - 1)) - (1 << 63))
-                    marks.append(fingerprints(own, percent).view(np.int64) if len(own) else np.zeros(0, np.int64))
+                    marks.append(fingerprints(own, percent).view(np.int64) if len(own) and not rare else np.zeros(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(marks)))], names=["k", "n", "s1", "s2", "marks"])
 
     rows = materialize(own.mapInArrow(digest, "k long, n long, s1 long, s2 long, marks array<long>"))
     equal = materialize(rows.where("n > 0 and k is not null").groupBy("s1", "s2").agg(F.min("k").alias("rep")))
-    reps = rows.join(equal, ["s1", "s2"]).where("k = rep").select("k", "marks")
-    marks = reps.select("k", F.explode("marks").alias("mark"))
+    if rare:
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        marks = materialize(rare_marks(own, total, words, percent)).join(equal.select("s1", F.col("rep").alias("k")), "s1").select("k", "mark")
+    else:
+        reps = rows.join(equal, ["s1", "s2"]).where("k = rep").select("k", "marks")
+        marks = reps.select("k", F.explode("marks").alias("mark"))
     twice = materialize(marks.groupBy("mark").agg(F.min("k").alias("least"), F.count("*").alias("n")).where("n > 1").select("mark", "least"))
     near = marks.join(small(twice, broadcast_rows), "mark").where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b"))
     groups = materialize(components(near))

@@ -239,3 +239,13 @@ def test_pipeline(spark, tmp_path):
     assert all(0 <= len(r["text"].encode()) - removed[r["doc_id"]] <= 8 and r["n_chars"] == len(r["text"]) for r in c.collect())
     assert sorted(r["doc_id"] for r in d.collect()) == sorted(r["doc_id"] for r in c.collect())
     assert {r["doc_id"]: r["n_tokens"] > 0 for r in e.collect()} == {r["doc_id"]: bool(r["text"].split()) for r in d.collect()}
+
+
+def test_pipeline_drops_scattered_edits_by_five_words(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    near = [f"edit{i}" if i in (30, 80, 130, 170) else w for i, w in enumerate(words)]
+    far = [f"edit{i}" if i in (20, 50, 80, 110, 140, 170) else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(far), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()) == [1, 3]

@@ -201,6 +201,15 @@ def test_jaccard(docs, empty, words, percent, block, broadcast):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize(("words", "percent", "block", "broadcast"), [(5, 80, 1024, 1_000_000), (5, 80, 2, 0), (2, 60, 1024, 0)])
+def test_jaccard_by_rare_shingles(docs, empty, words, percent, block, broadcast):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = jaccard.jaccard_components(docs, words, percent, block, broadcast, rare=True).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == brute_components(rows, words, percent)
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+    assert jaccard.jaccard_components(empty, words, percent, rare=True).count() == 0
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_no_pair_is_missed_by_fingerprints(percent):
     rng = np.random.default_rng(4)
