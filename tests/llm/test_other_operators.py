@@ -144,6 +144,30 @@ def test_mixing_rows(spark):
     assert mixing.interleave(df.where("false")).count() == 0
 
 
+def test_mixing_stays_within_a_block_of_the_given_weights(spark):
+    weights = {"a": 1.0, "b": 1.0, "c": 1.0, "d": 0.003}
+    df = spark.range(2400).selectExpr("id doc_id", "case when id < 2 then 'd' else substr('abc', cast(id % 3 as int) + 1, 1) end source")
+    got = sorted((r["slot"], r["source"]) for r in mixing.interleave(df, weights, block_docs=1, period=16).where("phase = 0").collect())
+    assert [t for t, _ in got] == list(range(len(got))) and len(got) > 1000
+    for k, w in weights.items():
+        seen = 0
+        for t, source in got:
+            seen += source == k
+            assert abs(seen - w / sum(weights.values()) * (t + 1)) < 1
+
+
+def test_schedule_of_a_long_phase():
+    q = {"a": 1.0, "b": 1.0, "c": 1.0, "d": 0.0003}
+    seen = dict.fromkeys(q, 0)
+    for k, j, phase, release, deadline, slot in mixing.schedule(dict.fromkeys(q, 20_000), q):
+        if phase:
+            break
+        seen[k] += 1
+        assert j == seen[k] - 1 and release <= slot < deadline
+        assert all(abs(seen[s] - w / sum(q.values()) * (slot + 1)) < 1 for s, w in q.items())
+    assert sum(seen.values()) > 50_000
+
+
 # -- 5: language ------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def languages(spark):
