@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,24 @@ def test_near_duplicates(vectors):
     assert got[None]["component_id"] is None and hnsw.near_duplicates(df.where("false")).count() == 0
 
 
+def test_audit_sees_small_groups_beside_a_large_one():
+    rng = np.random.default_rng(9)
+    hot = rng.standard_normal(32) + 0.02 * rng.standard_normal((400, 32))
+    pairs = np.repeat(rng.standard_normal((56, 32)), 2, axis=0) + 0.01 * rng.standard_normal((112, 32))
+    x, ids = np.concatenate([hot, pairs])[(order := rng.permutation(512))], np.arange(512)
+    own = hnsw.Linker(ids, x, [pa.array([1] * 512)], 0.9)
+    search = own.links
+
+    def narrow(ids, unit, beam):  # finds no pair before the beam is 128
+        a, b = search(ids, unit, beam)
+        keep = (order[a] < 400) | (beam >= 128)
+        return a[keep], b[keep]
+
+    own.links = narrow
+    a, _ = own(ids, x)
+    assert sorted(order[a][order[a] >= 400]) == list(range(400, 512)) and (np.bincount(a, minlength=512)[order < 400] == 399).all()
+
+
 def test_nearest(vectors):
     df, ids, x = vectors
     got = {}
