@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import materialize
+from foliospark.llm.common import BROADCAST_BYTES, materialize, per_task, stored_bytes
 
 #: Rows that a broadcast side may have (about 60 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -128,8 +128,8 @@ def anchor_rows(docs: DataFrame, spec: Repeats) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int) -> DataFrame:
-    """A table written before: a broadcast hint if its counted rows are within the limit."""
-    return F.broadcast(df) if df.count() <= limit else df
+    """A table written before: a broadcast hint if its files and its counted rows are within their limits."""
+    return F.broadcast(df) if limit and stored_bytes(df) <= BROADCAST_BYTES and df.count() <= limit else df
 
 
 def windows(docs: DataFrame, spec: Repeats, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

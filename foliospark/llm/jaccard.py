@@ -5,16 +5,15 @@ of two documents is at most the sum of the smaller of their counts, group by gro
 node of the tree the sum against its largest counts, so nodes and points that cannot reach the
 threshold are passed over and only the others' sets are compared.
 
-Trees are built within candidate groups that cannot miss a pair: sets within the
-threshold differ in at most D shingles, so of P = D + 1 + spare parts of the hash space
-``spare`` + 1 at least hold the same shingles in both.  Documents that share a part's fingerprint are connected into
-candidate groups.  (Empty parts are no evidence: a document gives their fingerprints only if it has more of them than ``spare``.)
-Equal sets are one point.  Groups above ``BLOCK`` points are compared block by block.
-
-At lower thresholds the parts are so small that passages in common connect unlike documents.  There
-``rare`` takes other marks that cannot miss a pair either: in any one order of all shingles, two sets that
-link share one of their first n - ceil(n * percent / 100) + 1.  The order is the lower half of the hash space by number
-of documents, then the upper half; so a document gives marks only if few of its shingles are its own.
+Trees stand in buckets that cannot miss a pair.  In any one order of all shingles, two sets that link share one of
+their first n - ceil(n * percent / 100) + 1; those are a document's marks, and a bucket holds documents
+of one mark.  The order puts shingles that are frequent in a sample last, then goes by hash: the sample
+makes buckets small, while no pair depends on it.  Equal sets are one point.
+
+Buckets are compared in rounds.  At first a document goes to one of its marks only, which joins most copies;
+from then on marks whose documents are all in one component need no comparison.  At the end every other mark is a bucket
+with all its documents (marks with the same documents once).  Buckets above ``block`` documents are split, and blocks
+compared two by two, but for those that hold one component.  Overlaps are counted on 64-bit hashes of the shingles.
 """
 
 from __future__ import annotations
@@ -28,24 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.anchors import small
-from foliospark.llm.common import materialize
-from foliospark.llm.components import Forest, components
+from foliospark.llm.anchors import LAST_ID, small
+from foliospark.llm.common import WordHashes, materialize, per_task
+from foliospark.llm.components import components
 
-WORDS, PERCENT, CACHE, BLOCK, LEAF, BROADCAST_ROWS = 3, 90, 200_000, 1024, 32, 1_000_000
-#: Of the sizes in a class; wider classes have smaller parts, which unlike documents share sooner.
-RATIO = 1.25
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE and len(word) < 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
+WORDS, PERCENT, BLOCK, LEAF, FAN, BROADCAST_ROWS = 3, 90, 1024, 16, 8, 1_000_000
+#: Shingles of the documents in a block, about.
+BLOCK_SHINGLES = 2_000_000
+#: Documents of the sample (at least so many, or this share of all), and shingles that count as frequent.
+SAMPLE, SAMPLE_SHARE, FREQUENT = 20_000, 0.001, 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -54,12 +44,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a whole text (A-Z lower-cased, cut at ASCII white space)."""
     own = (text or "").encode().lower().split()
     if not own:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
+    h = (WordHashes(0) if hashes is None else hashes).of(own)
     size = min(words, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
@@ -67,181 +57,109 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def size_class(n: int) -> int:
-    return int(math.log(n) / math.log(RATIO) + 1e-9)
-
-
-def class_floor(i: int) -> int:
-    """The least size in a class."""
-    n = max(1, math.ceil(RATIO**i - 1e-6))
-    while size_class(n) < i:
-        n += 1
-    return n
-
-
-def parts_of(i: int, percent: int) -> tuple[int, int]:
-    """(parts, spare) of size class i; no parts if sets of that class can only link when equal."""
-    top = class_floor(i + 1) - 1
-    most = 2 * top * (100 - percent) // (100 + percent)
-    if not most:
-        return 0, 0
-    spare = 1 + most // 48
-    return most + 1 + spare, spare
-
-
-def fingerprints(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Of the parts of a set, in its own size class and in the next ones where a partner may be."""
-    n, out = len(own), []
-    c = size_class(n) - 1
-    while c < size_class(n) or n * 100 >= class_floor(c + 1) * percent:
-        c += 1
-        parts, spare = parts_of(c, percent)
-        if not parts:
-            continue
-        of = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # grows with the hash
-        total = np.zeros(parts, np.uint64)
-        first = np.flatnonzero(np.diff(of, prepend=np.uint64(1 << 40)))
-        total[of[first].astype(np.int64)] = np.add.reduceat(_mix(own), first)
-        full = np.zeros(parts, bool)
-        full[of[first].astype(np.int64)] = True
-        keep = full if parts - full.sum() <= spare else np.ones(parts, bool)
-        mark = np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)
-        out.append(_mix(_mix(mark) ^ total)[keep])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def head(own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The shingles of a set that may be among the first in the order, and how many of these are beyond them."""
-    first = len(own) + percent * len(own) // -100 + 1
-    n = max(int(np.searchsorted(own, np.uint64(1 << 63))), first)
-    return own[:n], n - first
-
-
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return (((_mix(h) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-
-
-def _packed(bucket: np.ndarray, kind: int, cols: list[np.ndarray]) -> Iterator[tuple]:
-    """One row a bucket: (bucket, kind, bytes of each column)."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, cols = bucket[order], [c[order] for c in cols]
-    cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield int(bucket[a]), kind, *(c[a:b].tobytes() for c in cols)
+class Order:
+    """An order of all shingles: frequent ones last, by classes of their counts, then by hash."""
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        by = np.argsort(hashes)
+        self.hashes = hashes[by]
+        self.kinds = np.log2(np.maximum(counts[by], 1)).astype(np.int8) + 1
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
-    """Of each bucket in turn the columns of kind 0 and of kind 1."""
-    last, held = None, ([], [])
+    def marks(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """The first shingles of a set of which any set that links shares one."""
+        n = len(own)
+        first = n + percent * n // -100 + 1
+        if not len(self.hashes):
+            return own[:first]
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        kind = np.where(self.hashes[at] == own, self.kinds[at], 0)
+        return own[np.argsort(kind, kind="stable")[:first]]
 
-    def joined() -> tuple[list[np.ndarray], list[np.ndarray]]:
-        return tuple([np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate(PACKED)] for rows in held)
 
-    for batch in batches:
-        for bucket, kind, *cols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != last and last is not None:
-                yield joined()
-                held = ([], [])
-            last = bucket
-            held[kind].append(cols)
-    if last is not None:
-        yield joined()
+def frequent(docs: DataFrame, words: int, sample: int = SAMPLE, most: int = FREQUENT) -> Order:
+    """Counts of the commonest shingles of a sample; the driver gets at most ``most`` of them."""
+    share = max(sample / max(1, docs.count()), SAMPLE_SHARE)
+    unit = F.pmod(F.xxhash64("text", "k"), F.lit(1_000_000)) / 1e6
 
-
-#: Shingle, document (the first half of its set's digest) and a number of each packed entry.
-PACKED = (np.uint64, np.int64, np.int32)
-PACKED_ROW = "bucket long, kind int, h binary, d binary, x binary"
-BUCKET_SHINGLES = 1_000_000
-
-
-def rare_marks(own: DataFrame, total: int, words: int, percent: int) -> DataFrame:
-    """s1, mark: of each distinct set the first shingles in the order that other sets hold too."""
-    n_buckets = max(1, -(-total // BUCKET_SHINGLES))
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "kind", "h", "d", "x"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                heads, of, beyond = [], [], []
-                for text in batch.column(0).slice(at, 512).to_pylist():
-                    if len(s := shingles(text, words)):
-                        h, more = head(s, percent)
-                        heads.append(h)
-                        of.append((xxhash.xxh3_128_intdigest(s) >> 64) - (1 << 63))
-                        beyond.append(more)
-                if not heads:
-                    continue
-                h, d = np.concatenate(heads), np.array(of, np.int64)
-                n, more = np.array([len(x) for x in heads]), np.array(beyond, np.int32)
-                rows = list(_packed(_bucket(h, n_buckets), 0, [h, np.repeat(d, n), np.zeros(len(h), np.int8)]))
-                yield batch_of([(b, kind, x, y, b"") for b, kind, x, y, _ in rows] + list(_packed(_bucket(d.view(np.uint64), n_buckets), 1, [d.view(np.uint64), d, more])))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h, d, _), (_, of, more) in _buckets(batches):
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            once = np.ones(len(h), bool)  # equal sets count once
-            once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            h, d = h[once], d[once]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            docs = np.diff(np.append(first, len(h)))
-            docs = np.repeat(docs, docs).astype(np.int32)
-            h, d, docs = h[docs > 1], d[docs > 1], docs[docs > 1]
-            rows = list(_packed(_bucket(d.view(np.uint64), n_buckets), 0, [h, d, docs]))
-            yield batch_of(rows + list(_packed(_bucket(of.view(np.uint64), n_buckets), 1, [of.view(np.uint64), of, more])))
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h, d, docs), (_, of, more) in _buckets(batches):
-            order = np.lexsort((h, docs, d))
-            h, d = h[order], d[order]
-            of, at = np.unique(of, return_index=True)
-            first = np.searchsorted(d, of)
-            shared = np.searchsorted(d, of, side="right") - first
-            take = np.maximum(shared - more[at], 0)
-            own = np.repeat(first - np.cumsum(take) + take, take) + np.arange(take.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(h[own].view(np.int64))], names=["s1", "mark"])
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition("bucket").sortWithinPartitions("bucket")
-
-    return dealt(dealt(own.where("k is not null").select("text").mapInArrow(cut, PACKED_ROW)).mapInArrow(count, PACKED_ROW)).mapInArrow(choose, "s1 long, mark long")
+            for at in range(0, batch.num_rows, 1024):
+                own = [shingles(t, words, hashes) for t in batch.column(0).slice(at, 1024).to_pylist()]
+                h, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    found = docs.where(unit < share).select("text").mapInArrow(per_task(run), "h long, n long")
+    top = found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "h").limit(most).toArrow()
+    return Order(top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy())
 
 
 class CountTree:
-    """An R-tree over count vectors in order of size: leaves of ``LEAF`` points under one level of nodes."""
+    """A packed R-tree over count vectors; its nodes also know whether all below are in one component."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None):
+        self.percent = percent
         top = max(map(len, sets))
         groups = min(512, max(16, 1 << math.ceil(math.log2(max(1, top / 24)))))
         kind = np.int32 if top > 30_000 else np.int16
-        self.points = np.stack([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets]).astype(kind)
-        self.n = np.array([len(s) for s in sets])
-        cuts = range(0, len(sets), LEAF)
-        self.most = np.stack([self.points[i : i + LEAF].max(axis=0) for i in cuts])
-        self.least_n = np.array([self.n[i] for i in cuts])
-        self.most_n = np.array([self.n[min(i + LEAF, len(sets)) - 1] for i in cuts])
+        points = np.stack([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets]).astype(kind)
+        self.order = self._packed(points)
+        self.points, self.sets = points[self.order], [sets[i] for i in self.order]
+        self.n = np.array([len(s) for s in self.sets])
+        self.labels = np.unique(np.arange(len(sets)) if labels is None else labels, return_inverse=True)[1][self.order]
+        self.levels = []  # (points in a node, largest counts, least and greatest size), leaves first
+        most, low, high, span = self.points, self.n, self.n, 1
+        while len(most) > 1:
+            fan = LEAF if span == 1 else FAN
+            cuts = np.arange(0, len(most), fan)
+            most, low, high, span = np.maximum.reduceat(most, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), span * fan
+            self.levels.append((span, most, low, high))
+        self._mark()
+
+    @staticmethod
+    def _packed(points: np.ndarray) -> np.ndarray:
+        """An order in which neighbours are near: halves by the coordinate that varies most, down to leaves."""
+        order, todo = np.arange(len(points)), [(0, len(points))]
+        while todo:
+            a, b = todo.pop()
+            if b - a <= LEAF:
+                continue
+            own = points[order[a:b]]
+            axis = int(own.astype(np.float32).var(axis=0).argmax())
+            order[a:b] = order[a:b][np.argsort(own[:, axis], kind="stable")]
+            mid = a + -(-(b - a) // 2 // LEAF) * LEAF
+            todo += [(a, mid), (mid, b)]
+        return order
+
+    def _mark(self) -> None:
+        """Of each node the component of all its points, or -1."""
+        self.whole = []
+        for span, *_ in self.levels:
+            cuts = np.arange(0, len(self.labels), span)
+            low, high = np.minimum.reduceat(self.labels, cuts), np.maximum.reduceat(self.labels, cuts)
+            self.whole.append(np.where(low == high, low, -1))
 
     def needed(self, n: int, other: np.ndarray) -> np.ndarray:
         return -(-self.percent * (n + other) // (100 + self.percent))
 
-    def before(self, q: int) -> np.ndarray:
-        """Points before q in the order whose bound reaches the threshold."""
-        n, p = int(self.n[q]), self.points[q]
-        least = -(-self.percent * n // 100)
-        leaves = np.flatnonzero(self.most_n[: q // LEAF + 1] >= least)
-        if not len(leaves):
-            return leaves
-        bound = np.minimum(self.most[leaves], p).sum(axis=1)
-        leaves = leaves[bound >= self.needed(n, np.maximum(self.least_n[leaves], least))]
-        if not len(leaves):
-            return leaves
-        at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[(at < q) & (self.n[np.minimum(at, len(self.n) - 1)] >= least)]
-        return at[np.minimum(self.points[at], p).sum(axis=1) >= self.needed(n, self.n[at])]
+    def before(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points before q in the order, of other components, whose bound reaches the threshold; and by how much it does."""
+        n, p, own = int(self.n[q]), self.points[q], self.labels[q]
+        least, most = -(-self.percent * n // 100), n * 100 // self.percent
+        at = np.zeros(1, np.int64)
+        for i in range(len(self.levels) - 1, -1, -1):
+            span, counts, low, high = self.levels[i]
+            at = at[(at * span < q) & (self.whole[i][at] != own) & (high[at] >= least) & (low[at] <= most)]
+            bound = np.minimum(counts[at], p).sum(axis=1)
+            at = at[bound >= self.needed(n, np.maximum(low[at], least))]
+            fan = LEAF if not i else FAN
+            at = (at[:, None] * fan + np.arange(fan)).ravel()
+            at = at[at < (len(self.n) if not i else len(self.levels[i - 1][1]))]
+            if not len(at):
+                return at, at
+        at = at[(at < q) & (self.labels[at] != own) & (self.n[at] >= least) & (self.n[at] <= most)]
+        spare = np.minimum(self.points[at], p).sum(axis=1) - self.needed(n, self.n[at])
+        return at[spare >= 0], spare[spare >= 0]
 
     def linked(self, a: int, b: int) -> bool:
         x, y = self.sets[a], self.sets[b]
@@ -251,90 +169,179 @@ class CountTree:
         both = int((y[at] == x).sum())
         return 100 * both >= self.percent * (len(x) + len(y) - both)
 
+    def join(self) -> list[tuple[int, int]]:
+        """Links (as positions in the given sets) that connect all that are linked; those of one component are not compared."""
+        out = []
+        for q in range(1, len(self.n)):
+            at, spare = self.before(q)
+            at = at[np.argsort(-spare, kind="stable")]
+            while len(at):
+                b, at = int(at[0]), at[1:]
+                if self.linked(q, b):
+                    out.append((int(self.order[q]), int(self.order[b])))
+                    self.labels[self.labels == self.labels[b]] = self.labels[q]
+                    self._mark()
+                    at = at[self.labels[at] != self.labels[q]]
+        return out
+
+
+def link_bucket(ids: list[int], sets: list[np.ndarray], percent: int, labels: list[int]) -> list[tuple[int, int]]:
+    """Links of documents of one bucket, enough to connect all that are linked in it."""
+    if len(ids) < 2:
+        return []
+    return [(ids[a], ids[b]) for a, b in CountTree(sets, percent, np.array(labels)).join()]
+
+
+class Join:
+    """One Jaccard join of a table: its digests, its distinct sets, and the components of these."""
+
+    def __init__(self, docs: DataFrame, words: int, percent: int, block: int, broadcast_rows: int, every_row: bool):
+        self.words, self.percent, self.block, self.broadcast_rows = words, percent, block, broadcast_rows
+        text = F.col("text").cast("string")
+        k = F.col("doc_id").cast("long")
+        self.docs = docs.select(F.coalesce(k, F.lit(LAST_ID)).alias("k"), F.xxhash64(text).alias("f"), text.alias("text"), k.isNull().alias("no_id"))
+        self.rows = materialize(self._digests(frequent(self.docs, words)))
+        told = self.rows.where("n > 0") if every_row else self.rows.where("n > 0 and not no_id")
+        equal = told.groupBy("s1", "s2").agg(F.min(F.struct("k", "f")).alias("rep"))
+        node = F.monotonically_increasing_id() if every_row else F.col("rep.k")
+        self.equal = materialize(equal.select("s1", "s2", node.alias("id"), F.col("rep.k").alias("k"), F.col("rep.f").alias("f")))
+
+    def _digests(self, order: Order) -> DataFrame:
+        words, percent = self.words, self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    n, s1, s2, marks = [], [], [], []
+                    for text in part.column(3).to_pylist():
+                        own = shingles(text, words, hashes)
+                        h = xxhash.xxh3_128_intdigest(own)
+                        n.append(len(own))
+                        s1.append((h >> 64) - (1 << 63))
+                        s2.append((h & ((1 << 64) - 1)) - (1 << 63))
+                        marks.append(order.marks(own, percent).view(np.int64) if len(own) else np.zeros(0, np.int64))
+                    ends = pa.array(np.cumsum([0, *map(len, marks)]).astype(np.int32))
+                    cols = [*part.columns[:3], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
+                    cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(marks))))
+                    yield pa.RecordBatch.from_arrays(cols, names=["k", "f", "no_id", "n", "s1", "s2", "marks"])
+
+        schema = "k long, f long, no_id boolean, n long, s1 long, s2 long, marks array<long>"
+        return self.docs.select("k", "f", "no_id", "text").mapInArrow(per_task(run), schema)
+
+    def _compared(self, tasks: DataFrame) -> DataFrame:
+        """Links (a, b) within each task of (id, label, task)."""
+        words, percent = self.words, self.percent
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    own = [shingles(t, words, hashes).tobytes() for t in part.column(3).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, pa.binary())], names=["task", "id", "label", "own"])
+
+        def out(held: dict) -> pa.RecordBatch:
+            keys = list(held)
+            got = link_bucket([i for i, _ in keys], [np.frombuffer(s, np.uint64) for _, s in keys], percent, list(held.values()))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
 
-def link_group(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a group: pairs known to be connected are not compared again."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-    tree, forest = CountTree(sets, percent), Forest()
-    for q in range(1, len(ids)):
-        for b in tree.before(q)[::-1].tolist():
-            if forest.find(ids[q]) != forest.find(ids[b]) and tree.linked(q, b):
-                forest.union(ids[q], ids[b])
-    return forest.links()
-
-
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS, rare: bool = False) -> DataFrame:
+        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, bytes], int] = {}
+            last = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    for task, i, label, own in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                        if task != last and held:
+                            yield out(held)
+                            held = {}
+                        last = task
+                        held[i, own] = label
+            if held:
+                yield out(held)
+
+        keys = self.equal.select("id", "k", "f")
+        spread = materialize(tasks.join(keys, "id").select("k", "f", "task", "id", "label"))
+        held = self.docs.join(small(spread, self.broadcast_rows), ["k", "f"]).select("task", "id", "label", "text").mapInArrow(per_task(sets), "task long, id long, label long, own binary")
+        return held.repartition("task").sortWithinPartitions("task").mapInArrow(per_task(link), "a long, b long")
+
+    def _blocks(self):
+        return F.greatest(F.ceil(F.col("c") / self.block), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    def _first_marks(self, shared: DataFrame, seed: int) -> DataFrame:
+        """Every document at one of its marks, the least by a hash, in blocks of one mark."""
+        one = shared.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("mark", F.lit(seed)).alias("o"), "mark", "n")).alias("p")).select("id", "label", "p.mark", "p.n")
+        sizes = one.groupBy("mark").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        block = F.pmod(F.xxhash64("id", F.lit(seed)), self._blocks())
+        return one.join(sizes, "mark").select("id", "label", F.xxhash64("mark", block).alias("task"))
+
+    def _all_marks(self, shared: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Every document at all marks that still join components; large buckets as pairs of blocks."""
+        once = sizes.groupBy("c", "x1", "x2").agg(F.min("mark").alias("mark"), F.first("s").alias("s"))
+        at = shared.join(once, "mark").select("id", "label", "mark", self._blocks().alias("blocks"))
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+        spread = at.withColumn("own", own).select("id", "label", "mark", F.explode(pairs).alias("pair")).select("id", "label", F.xxhash64("mark", "pair.i", "pair.j").alias("task"))
+        mixed = spread.groupBy("task").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("task")
+        return spread.join(mixed, "task")
+
+    def groups(self) -> DataFrame:
+        """id, component of the distinct sets that link with others."""
+        same = (self.rows["s1"] == self.equal["s1"]) & (self.rows["s2"] == self.equal["s2"]) & (self.rows["k"] == self.equal["k"]) & (self.rows["f"] == self.equal["f"])
+        marks = self.rows.join(self.equal, same).select("id", "n", F.explode("marks").alias("mark"))
+        twice = materialize(marks.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"))
+        shared = materialize(marks.join(small(twice, self.broadcast_rows), "mark").select("id", "n", "mark", F.col("id").alias("label")))
+        links = found = None
+        for seed in range(4):
+            links = materialize(self._compared(self._first_marks(shared, seed)))
+            links = links if found is None else links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            found = materialize(components(links))
+            sizes = shared.select("id", "n", "mark").join(found, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
+            groups = sizes.groupBy("mark").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")).where("low <> high")
+            groups = materialize(groups)
+            shared = materialize(sizes.join(small(groups.select("mark"), self.broadcast_rows), "mark"))
+            # Large buckets are worth another round at one mark; blocks of it mix what the last ones held apart.
+            if not groups.where(self._blocks() > 1).limit(1).count():
+                break
+        links = materialize(self._compared(self._all_marks(shared, groups)))
+        if not links.limit(1).count():
+            return found
+        return components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    def named(self) -> DataFrame:
+        """s1, s2, component of every distinct set; the component is the least id."""
+        found = self.groups()
+        return self.equal.join(found, self.equal["id"] == found["node"], "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each row.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets.  No words or a
     null text: an empty set, linked with nothing.  Rows of one id count as one document of that
-    component; a null id links with nothing and has a null component.  Extra columns are ignored.
-    ``rare`` finds candidates by shingles of few documents instead of parts (same result)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text"))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n, s1, s2, marks = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    own = shingles(text, words)
-                    h = xxhash.xxh3_128_intdigest(own)
-                    n.append(len(own))
-                    s1.append((h >> 64) - (1 << 63))
-                    s2.append((h & ((1 << 64) - 1)) - (1 << 63))
-                    marks.append(fingerprints(own, percent).view(np.int64) if len(own) and not rare else np.zeros(0, np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(marks)))], names=["k", "n", "s1", "s2", "marks"])
-
-    rows = materialize(own.mapInArrow(digest, "k long, n long, s1 long, s2 long, marks array<long>"))
-    equal = materialize(rows.where("n > 0 and k is not null").groupBy("s1", "s2").agg(F.min("k").alias("rep")))
-    if rare:
-        total = rows.agg(F.sum("n")).first()[0] or 0
-        marks = materialize(rare_marks(own, total, words, percent)).join(equal.select("s1", F.col("rep").alias("k")), "s1").select("k", "mark")
-    else:
-        reps = rows.join(equal, ["s1", "s2"]).where("k = rep").select("k", "marks")
-        marks = reps.select("k", F.explode("marks").alias("mark"))
-    twice = materialize(marks.groupBy("mark").agg(F.min("k").alias("least"), F.count("*").alias("n")).where("n > 1").select("mark", "least"))
-    near = marks.join(small(twice, broadcast_rows), "mark").where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b"))
-    groups = materialize(components(near))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    spread = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = spread.select(F.col("node").alias("k"), "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))).alias("pair"))
-    spread = materialize(spread.select("k", F.xxhash64("component", "pair.i", "pair.j").alias("task")).distinct())
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array([shingles(t, words).tobytes() for t in part.column(2).to_pylist()], pa.binary())], names=["task", "k", "own"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: list[int], own: list[bytes]) -> pa.RecordBatch:
-            distinct = dict(zip(zip(ids, own, strict=True), ids, strict=True))
-            got = link_group(list(distinct.values()), [np.frombuffer(s, np.uint64) for _, s in distinct], percent) if len(distinct) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
-
-        ids: list[int] = []
-        own: list[bytes] = []
-        last = None
-        for batch in batches:
-            for task, k, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if task != last and ids:
-                    yield out(ids, own)
-                    ids, own = [], []
-                last = task
-                if s:
-                    ids.append(k)
-                    own.append(s)
-        if ids:
-            yield out(ids, own)
-
-    held = own.join(small(spread, broadcast_rows), "k").select("k", "task", "text").mapInArrow(sets, "task long, k long, own binary")
-    links = held.repartition("task").sortWithinPartitions("task").mapInArrow(link, "a long, b long")
-    found = components(links)
-    named = equal.join(found, equal.rep == found.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("k", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    alone = F.when(F.col("n") > 0, F.col("component_id"))
-    return out.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce(alone, "k")).alias("component_id"))
+    component; a null id links with nothing and has a null component.  Extra columns are ignored; an empty table gives
+    an empty result."""
+    own = Join(docs, words, percent, block, broadcast_rows, every_row=False)
+    out = own.rows.select("k", "no_id", "n", "s1", "s2").join(own.named(), ["s1", "s2"], "left")
+    alone = F.when(F.col("n") > 0, F.col("component"))
+    doc_id = F.when(~F.col("no_id"), F.col("k"))
+    return out.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(doc_id.isNotNull(), F.coalesce(alone, "k")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int, percent: int, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: one row of each component of texts stays, the one of the smallest id.
+
+    Rows are told apart by id and text: rows of one id with unlike texts all stay, a null id is the greatest, and of
+    rows that repeat an id and a text one stays.  Texts without words link with nothing and stay as they are."""
+    own = Join(docs, words, percent, block, broadcast_rows, every_row=True)
+    told = own.rows.where("n > 0").join(own.named(), ["s1", "s2"]).select("component", "k", "f")
+    told = materialize(told.groupBy("component", "k", "f").agg(F.count("*").alias("c")))
+    stays = told.groupBy("component").agg(F.min(F.struct("k", "f")).alias("first"))
+    told = told.join(stays, "component").select("k", "f", "c", ((F.col("first.k") == F.col("k")) & (F.col("first.f") == F.col("f"))).alias("first"))
+    odd = materialize(told.where("not first or c > 1").select(F.col("k").alias("__k"), F.col("f").alias("__f"), F.col("first").alias("__first")))
+    keyed = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__f": F.xxhash64(F.col("text").cast("string"))})
+    left = keyed.join(small(odd, broadcast_rows), ["__k", "__f"], "left_anti")
+    again = keyed.join(small(odd.where("__first"), broadcast_rows), ["__k", "__f"], "left_semi").dropDuplicates(["__k", "__f"])
+    return left.unionByName(again).select(docs.columns)

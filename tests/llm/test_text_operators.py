@@ -201,17 +201,21 @@ def test_jaccard(docs, empty, words, percent, block, broadcast):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize(("words", "percent", "block", "broadcast"), [(5, 80, 1024, 1_000_000), (5, 80, 2, 0), (2, 60, 1024, 0)])
-def test_jaccard_by_rare_shingles(docs, empty, words, percent, block, broadcast):
+def test_one_row_of_each_component_stays(docs, empty):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = jaccard.jaccard_components(docs, words, percent, block, broadcast, rare=True).collect()
-    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == brute_components(rows, words, percent)
-    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
-    assert jaccard.jaccard_components(empty, words, percent, rare=True).count() == 0
+    twice = docs.unionByName(docs.where("doc_id is null or doc_id in (3, 7)")).unionByName(docs.where("doc_id = 8").selectExpr("9L as doc_id", "text", "lang", "source", "h", "k"))
+    got = jaccard.keep_one(twice, 5, 80)
+    assert got.columns == docs.columns
+    want = {i: t for i, t in rows if i is not None and i == brute_components(rows, 5, 80)[i]}
+    # Id 9 has a text of its own and that of 8: the one of 8 goes, its own stays.
+    assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == sorted((i, t or "") for i, t in want.items())
+    lost = docs.where("doc_id is null").unionByName(docs.where("doc_id is null"))
+    assert [r["text"] for r in jaccard.keep_one(lost, 5, 80).collect()] == [rows[[i for i, _ in rows].index(3)][1]]
+    assert jaccard.keep_one(empty, 5, 80).count() == 0
 
 
 @pytest.mark.parametrize("percent", [60, 80, 90])
-def test_no_pair_is_missed_by_fingerprints(percent):
+def test_no_pair_is_missed_by_marks(percent):
     rng = np.random.default_rng(4)
     for _ in range(300):
         n = int(rng.integers(1, 300))
@@ -219,17 +223,38 @@ def test_no_pair_is_missed_by_fingerprints(percent):
         extra = rng.integers(0, 1 << 63, max(1, n * (100 - percent) // percent)).astype(np.uint64)
         cut = int(rng.integers(0, len(extra) + 1))
         a, b = np.unique(np.append(both, extra[:cut])), np.unique(np.append(both, extra[cut:]))
+        known = rng.choice(np.append(both, extra), int(rng.integers(0, n + 1)), replace=False)
+        order = jaccard.Order(np.unique(known), rng.integers(1, 99, len(np.unique(known))))
         i = len(np.intersect1d(a, b))
-        if 100 * i >= percent * (len(a) + len(b) - i) and len(a) + len(b) > 2 * i:
-            assert len(np.intersect1d(jaccard.fingerprints(a, percent), jaccard.fingerprints(b, percent)))
+        if 100 * i >= percent * (len(a) + len(b) - i):
+            assert len(np.intersect1d(order.marks(a, percent), order.marks(b, percent)))
 
 
-def test_tree_bound_keeps_all_links():
+@pytest.mark.parametrize(("n", "low"), [(150, 100), (700, 60)])
+def test_tree_connects_all_that_link(n, low):
     rng = np.random.default_rng(6)
-    base = rng.integers(0, 1 << 63, 120).astype(np.uint64)
-    sets = [np.unique(np.append(base[: int(rng.integers(100, 121))], rng.integers(0, 1 << 63, int(rng.integers(0, 12))).astype(np.uint64))) for _ in range(150)]
-    sets.sort(key=len)
+    base = [rng.integers(0, 1 << 63, 120).astype(np.uint64) for _ in range(3)]
+    sets = [np.unique(np.append(base[i % 3][: int(rng.integers(low, 121))], rng.integers(0, 1 << 63, int(rng.integers(0, 12))).astype(np.uint64))) for i in range(n)]
     tree = jaccard.CountTree(sets, 90)
-    for q in range(1, len(sets)):
-        found = set(tree.before(q).tolist())
-        assert all(b in found for b in range(q) if tree.linked(q, b))
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if tree.linked(a, b):
+                up[find(tree.order[a])] = find(tree.order[b])
+    want = {}
+    for i in range(n):
+        want.setdefault(find(i), set()).add(i)
+    links, up = tree.join(), list(range(n))
+    for a, b in links:
+        assert find(a) != find(b)
+        up[find(a)] = find(b)
+    got = {}
+    for i in range(n):
+        got.setdefault(find(i), set()).add(i)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
