@@ -13,8 +13,8 @@ windows of one anchor form a snippet of fewer than 2 * length units.  Steps:
    snippets have in common is sent once; a kernel finds the windows that repeat;
 5. the windows found, as ranges of positions, come back to every document that holds them.
 
-Rows of documents are told apart by (k, fp): the id, with null as the greatest, and a hash of
-the text.
+Rows of documents are told apart by (k, fp): the id, with null as the greatest, and a 64-bit hash of
+the text.  What goes to one row is bounded by its text: the snippets wanted of a document are one list.
 """
 
 from __future__ import annotations
@@ -82,9 +82,10 @@ def anchors(units: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndar
 class Repeats:
     """What differs between bytes and words.
 
-    split: text -> units; numbers: units -> array to hash; digest: (numbers, first, end) -> hash;
-    cut: (units, first, end) -> bytes; kernel: regions -> (h, sh, runs) with runs of windows,
-    as (first, number) in the snippet, of the representative that repeat."""
+    split: text -> units; numbers: makes, for a task, units -> array to hash; digest: (numbers, first, end) -> hash;
+    cut: (units, first, end) -> bytes; kernel: regions in order of (k, fp, at) -> (h, sh, runs) with runs of windows,
+    as (first, number) in the snippet, of the representative that repeat.  stays: which copy of a window does,
+    none, all of the smallest ``id``, or the first ``place`` by (k, fp, position)."""
 
     length: int
     gram: int
@@ -93,38 +94,39 @@ class Repeats:
     digest: Callable
     cut: Callable
     kernel: Callable
-    #: Whether a copy in the smallest document stays.
-    keep_first: bool
+    stays: str
 
 
 def keyed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *(keep or []))
-    return rows.select("doc_id", "text", *(keep or []), F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), F.hash("text").alias("fp"))
+    return rows.select("doc_id", "text", *(keep or []), F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), F.xxhash64("text").alias("fp"))
 
 
-ANCHOR = "h long, sh long, k long, fp int, st int, nw int, a int"
+ANCHOR = "h long, sh long, k long, fp long, st int, nw int, a int"
 RUN = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
 ITEM = pa.struct([("h", pa.int64()), ("sh", pa.int64()), ("st", pa.int32()), ("nw", pa.int32()), ("a", pa.int32())])
 
 
 def anchor_rows(docs: DataFrame, spec: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbered = spec.numbers()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 cols: list[list] = [[] for _ in range(7)]
                 for text, k, fp in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    numbers = spec.numbers(spec.split(text))
+                    numbers = numbered(spec.split(text))
                     for h, st, nw, a in anchors(numbers, spec.length, spec.gram):
                         end = st + nw + spec.length - 1
                         sh = np.fromiter((spec.digest(numbers, s, e) for s, e in zip(st.tolist(), end.tolist(), strict=True)), np.uint64, len(st))
-                        for c, x in zip(cols, (h.view(np.int64), sh.view(np.int64), np.full(len(h), k), np.full(len(h), fp, np.int32), st.astype(np.int32), nw.astype(np.int32), a.astype(np.int32)), strict=True):
+                        own = (h.view(np.int64), sh.view(np.int64), np.full(len(h), k), np.full(len(h), fp), *(x.astype(np.int32) for x in (st, nw, a)))
+                        for c, x in zip(cols, own, strict=True):
                             c.append(x)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "sh", "k", "fp", "st", "nw", "a"])
 
-    return docs.select("text", "k", "fp").mapInArrow(run, ANCHOR)
+    return docs.select("text", "k", "fp").mapInArrow(per_task(run), ANCHOR)
 
 
 def small(df: DataFrame, limit: int) -> DataFrame:
@@ -142,72 +144,80 @@ def windows(docs: DataFrame, spec: Repeats, broadcast_rows: int = BROADCAST_ROWS
     kinds = materialize(kinds)
     groups = kinds.groupBy("h").agg(F.count("*").alias("ns"), F.min("rep").alias("root")).where("ns > 1")
     shard = F.xxhash64("root.k", "root.fp", F.floor(F.col("root.st") / NEAR))
-    items = kinds.join(groups, "h").select(F.col("rep.k").alias("k"), F.col("rep.fp").alias("fp"), shard.alias("shard"), F.struct("h", "sh", F.col("rep.st").alias("st"), F.col("rep.nw").alias("nw"), F.col("rep.a").alias("a")).alias("item"))
+    item = F.struct("h", "sh", F.col("rep.st").alias("st"), F.col("rep.nw").alias("nw"), F.col("rep.a").alias("a"))
+    items = kinds.join(groups, "h").select(F.col("rep.k").alias("k"), F.col("rep.fp").alias("fp"), shard.alias("shard"), item.alias("item"))
     wanted = materialize(items.groupBy("k", "fp").agg(F.collect_list(F.struct("shard", "item")).alias("wanted")))
     regions = docs.select("k", "fp", "text").join(small(wanted, broadcast_rows // 4), ["k", "fp"])
     found = materialize(_compare(_regions(regions, spec), spec))
     # Written, so that the join below reads plain exchanges on both sides and adaptive execution can split a hot snippet.
-    kinds = materialize(kinds.join(found, ["h", "sh"], "left").select("h", "sh", "cnt", F.col("rep.k").alias("least"), "runs"))
+    kinds = materialize(kinds.join(found, ["h", "sh"], "left").select("h", "sh", "cnt", "rep", "runs"))
     every = F.array(F.struct(F.col("st").alias("first"), F.col("nw").alias("n")))
     some = F.transform("runs", lambda r: F.struct((r["first"] + F.col("st")).alias("first"), r["n"].alias("n")))
-    whole = (F.col("k") > F.col("least")) if spec.keep_first else (F.col("cnt") > 1)
+    later = F.struct("k", "fp", "st") > F.struct("rep.k", "rep.fp", "rep.st")
+    whole = {"none": F.col("cnt") > 1, "id": F.col("k") > F.col("rep.k"), "place": later}[spec.stays]
     placed = rows.join(kinds, ["h", "sh"]).select("k", "fp", F.when(whole, every).otherwise(some).alias("runs")).where("size(runs) > 0")
     return placed.groupBy("k", "fp").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
+def _stretches(items: list[dict], length: int) -> Iterator[tuple[int, int, list[dict]]]:
+    """(first, end, items) of the stretches of units that the items' snippets cover together."""
+    items = sorted({(i["h"], i["sh"], i["st"]): i for i in items}.values(), key=lambda i: i["st"])  # repeated rows count once
+    i = 0
+    while i < len(items):
+        j, end = i + 1, items[i]["st"] + items[i]["nw"] + length - 1
+        while j < len(items) and items[j]["st"] <= end:
+            end = max(end, items[j]["st"] + items[j]["nw"] + length - 1)
+            j += 1
+        yield items[i]["st"], end, items[i:j]
+        i = j
+
+
 def _regions(docs: DataFrame, spec: Repeats) -> DataFrame:
     """The text that the wanted snippets of a document cover, one row a shard and stretch."""
+    names = ["shard", "k", "fp", "at", "body", "items"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(ITEM)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                shard, ks, starts, bodies, items = [], [], [], [], []
-                for k, text, wanted in zip(*(part.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
+                rows = []
+                for k, fp, text, wanted in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
                     units = spec.split(text)
                     by: dict[int, list] = {}
                     for w in wanted:
                         by.setdefault(w["shard"], []).append(w["item"])
                     for s, own in by.items():
-                        own = list({(i["h"], i["sh"], i["st"]): i for i in own}.values())  # repeated rows
-                        own.sort(key=lambda i: i["st"])
-                        i = 0
-                        while i < len(own):
-                            j, end = i + 1, own[i]["st"] + own[i]["nw"] + spec.length - 1
-                            while j < len(own) and own[j]["st"] <= end:
-                                end = max(end, own[j]["st"] + own[j]["nw"] + spec.length - 1)
-                                j += 1
-                            shard.append(s)
-                            ks.append(k)
-                            starts.append(own[i]["st"])
-                            bodies.append(spec.cut(units, own[i]["st"], end))
-                            items.append(own[i:j])
-                            i = j
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(ks, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary()), pa.array(items, pa.list_(ITEM))], names=["shard", "k", "at", "body", "items"])
-
-    return docs.select("k", "text", "wanted").mapInArrow(run, "shard long, k long, at int, body binary, items array<struct<h:long,sh:long,st:int,nw:int,a:int>>")
+                        rows += [(s, k, fp, a, spec.cut(units, a, b), i) for a, b, i in _stretches(own, spec.length)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    schema = "shard long, k long, fp long, at int, body binary, items array<struct<h:long,sh:long,st:int,nw:int,a:int>>"
+    return docs.select("k", "fp", "text", "wanted").mapInArrow(per_task(run), schema)
 
 
 def _compare(regions: DataFrame, spec: Repeats) -> DataFrame:
     def flush(held: list[dict]) -> pa.RecordBatch:
+        held = list({(r["shard"], r["k"], r["fp"], r["at"]): r for r in held}.values())  # repeated rows count once
+        held.sort(key=lambda r: (r["k"], r["fp"], r["at"]))
         out = [x for x in spec.kernel(held) if x[2]]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([[{"first": a, "n": n} for a, n in x[2]] for x in out], RUN)], names=["h", "sh", "runs"])
+        runs = [[{"first": a, "n": n} for a, n in x[2]] for x in out]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array(runs, RUN)], names=["h", "sh", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size, last = 0, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if size >= BATCH and row["shard"] != last:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["body"])
-                last = row["shard"]
+            for at in range(0, batch.num_rows, 256):
+                for row in batch.slice(at, 256).to_pylist():
+                    if size >= BATCH and row["shard"] != last:
+                        yield flush(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row["body"])
+                    last = row["shard"]
         if held:
             yield flush(held)
 
-    return regions.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "h long, sh long, runs array<struct<first:int,n:int>>")
+    return regions.repartition("shard").sortWithinPartitions("shard").mapInArrow(per_task(run), "h long, sh long, runs array<struct<first:int,n:int>>")
 
 
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:

@@ -18,23 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from foliospark.llm import anchors as A
+from foliospark.llm.common import WordHashes, per_task
 
-LENGTH, GRAM, CACHE = 50, 16, 200_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE and len(word) < 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
-def _numbers(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+LENGTH, GRAM = 50, 16
 
 
 def _split(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -84,11 +70,11 @@ def spec(length: int = LENGTH, gram: int = GRAM) -> A.Repeats:
     return A.Repeats(
         length, gram,
         split=lambda text: text.encode().split(),  # at the six ASCII white-space bytes
-        numbers=_numbers,
+        numbers=lambda: WordHashes().of,
         digest=lambda n, s, e: xxhash.xxh3_64_intdigest(n[s:e]),
         cut=lambda words, s, e: b" ".join(words[s:e]),
         kernel=_kernel(length, gram),
-        keep_first=True,
+        stays="id",
     )
 
 
@@ -101,8 +87,8 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 rows = []
                 for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = text.encode().split()
@@ -120,4 +106,4 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     own = A.keyed(docs)
     found = A.windows(own, spec(length, gram), broadcast_rows)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return A.with_windows(own, found).mapInArrow(run, schema)
+    return A.with_windows(own, found).mapInArrow(per_task(run), schema)

@@ -2,7 +2,8 @@
 
 Bytes that lie in a ``length``-byte string which also starts anywhere else are found by
 breadth-first backward extension (``bwt``) within shards; ``anchors`` sees to it that all
-places of a string meet in one shard.
+places of a string meet in one shard.  A filter goes before: of places whose whole surroundings are equal one
+stands for all in the transform, and where there are no others the copies are known without it.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from pyspark.sql import DataFrame
 
 from foliospark.llm import anchors as A
 from foliospark.llm.bwt import classes
+from foliospark.llm.common import per_task
 
 LENGTH, GRAM = 200, 32
 
 
-def _kernel(length: int):
+def _kernel(length: int, keep_first: bool = False):
     def run(regions: list[dict]) -> list[tuple]:
         parts = []
         for r in regions:
@@ -34,7 +36,12 @@ def _kernel(length: int):
                 first = at + i["st"] - r["at"]
                 own[first : first + i["nw"]] = True
             at += len(r["body"]) + 1
-        flags = np.bincount(same[own], minlength=same.max() + 1)[same] > 1
+        if keep_first:  # regions come in order of places
+            first = np.full(same.max() + 1, len(same))
+            np.minimum.at(first, same[own], np.flatnonzero(own))
+            flags = first[same] < np.arange(len(same))
+        else:
+            flags = np.bincount(same[own], minlength=same.max() + 1)[same] > 1
         out, at = [], 0
         for r in regions:
             for i in r["items"]:
@@ -46,36 +53,43 @@ def _kernel(length: int):
     return run
 
 
-def spec(length: int = LENGTH, gram: int = GRAM) -> A.Repeats:
+def spec(length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> A.Repeats:
     return A.Repeats(
         length, gram,
         split=lambda text: text.encode(),
-        numbers=lambda b: np.frombuffer(b, np.uint8),
+        numbers=lambda: lambda b: np.frombuffer(b, np.uint8),
         digest=lambda n, s, e: xxhash.xxh3_64_intdigest(n[s:e]),
         cut=lambda b, s, e: b[s:e],
-        kernel=_kernel(length),
-        keep_first=False,
+        kernel=_kernel(length, keep_first),
+        stays="place" if keep_first else "none",
     )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, broadcast_rows: int = A.BROADCAST_ROWS, keep: list[str] | None = None) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, broadcast_rows: int = A.BROADCAST_ROWS, keep: list[str] | None = None, keep_first: bool = False
+) -> DataFrame:
     """doc_id, text and the runs of repeated windows of each document, one row a row of ``docs``.
 
     A null text is empty; a text shorter than ``length`` bytes has no window; repeated rows repeat each other
-    (so they lose all they have if long enough); null ids are rows like others; extra columns are ignored."""
+    (so they lose all they have if long enough); null ids are rows like others; extra columns are ignored.
+    With ``keep_first`` the first place of each window stays, by id (null last), a hash of the text, and position;
+    rows that repeat an id and a text then count as one."""
     own = A.keyed(docs, keep)
-    return A.with_windows(own, A.windows(own, spec(length, gram), broadcast_rows), keep)
+    return A.with_windows(own, A.windows(own, spec(length, gram, keep_first), broadcast_rows), keep)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, broadcast_rows: int = A.BROADCAST_ROWS, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, broadcast_rows: int = A.BROADCAST_ROWS, keep: list[str] | None = None, keep_first: bool = False
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, on demand kept_text, and the columns named in ``keep``.
 
-    ``kept_text`` is UTF-8 again: a character that a span cuts is kept whole."""
+    ``kept_text`` is UTF-8 again: a character that a span cuts is kept whole.  Rows, nulls and ``keep_first``: as in
+    ``repeated_spans``; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 rows = []
                 for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     body = text.encode()
@@ -85,16 +99,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                         kept.append(body[last:a])
                         last = b
                     kept.append(body[last:])
-                    rows.append((len(body), sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), _whole(body, spans) if keep_text else None))
-                cols = [part.column(0)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                    text = _whole(body, spans) if keep_text else None
+                    rows.append((len(body), sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), text))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                cols = [part.column(0)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
                 more = [part.column(3 + i) for i in range(len(keep or []))]
                 yield pa.RecordBatch.from_arrays(cols[: 5 + keep_text] + more, names=names[: 5 + keep_text] + list(keep or []))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    spans = repeated_spans(docs, length, gram, broadcast_rows, keep)
+    spans = repeated_spans(docs, length, gram, broadcast_rows, keep, keep_first)
     schema += "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep or [])
-    return spans.mapInArrow(run, schema)
+    return spans.mapInArrow(per_task(run), schema)
 
 
 def _whole(body: bytes, spans: list[tuple[int, int]]) -> str:

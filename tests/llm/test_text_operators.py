@@ -123,6 +123,44 @@ def test_byte_repeats(docs, empty, length, broadcast):
     assert suffix.remove_repeats(empty, length).count() == 0
 
 
+@pytest.mark.parametrize(("length", "broadcast"), [(200, 1_000_000), (40, 0)])
+def test_first_place_of_repeated_bytes_stays(docs, length, broadcast):
+    rows = sorted(((anchors.LAST_ID if r["doc_id"] is None else r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: r[0])
+    seen, want = set(), {}
+    for i, t in rows:
+        body = (t or "").encode()
+        gone = bytearray(len(body))
+        for j in range(len(body) - length + 1):
+            if body[j : j + length] in seen:
+                gone[j : j + length] = b"\1" * length
+            seen.add(body[j : j + length])
+        want[i] = hashlib.sha256(bytes(c for c, x in zip(body, gone, strict=True) if not x)).hexdigest()
+    twice = docs.unionByName(docs.where("doc_id in (0, 3)"))
+    got = suffix.remove_repeats(twice, length, broadcast_rows=broadcast, keep_first=True).collect()
+    assert len(got) == len(rows) + 2
+    assert all(r["kept_sha256"] == want[anchors.LAST_ID if r["doc_id"] is None else r["doc_id"]] for r in got)
+
+
+def test_transform_finds_a_pair_of_copies():
+    """Equal surroundings are known before the transform; given to it, they are found by it as well."""
+    body = np.random.default_rng(3).integers(32, 127, 500).astype(np.uint8).tobytes()
+    regions = [{"k": k, "fp": 0, "at": 0, "body": body, "items": [{"h": 1, "sh": k, "st": 0, "nw": 301, "a": 0}]} for k in (1, 2)]
+    assert suffix._kernel(200)(regions) == [(1, 1, [(0, 301)]), (1, 2, [(0, 301)])]
+    assert suffix._kernel(200, keep_first=True)(regions) == [(1, 1, []), (1, 2, [(0, 301)])]
+
+
+def test_rows_without_ids_are_told_apart_by_their_texts(spark):
+    rng = random.Random(3)
+    rows = [(None, "".join(rng.choice("abcdefgh ") for _ in range(220))) for _ in range(20_000)]
+    copies = rows[:40]
+    df = spark.createDataFrame(rows + [(9 + i, t) for i, (_, t) in enumerate(copies)], "doc_id long, text string").repartition(4)
+    got = suffix.remove_repeats(df, 200).where("n_removed > 0").groupBy("n_removed").count().collect()
+    assert [tuple(r) for r in got] == [(220, 80)]
+    words = spark.createDataFrame([(None, " ".join(rng.choice("abcdefgh") for _ in range(30))) for _ in range(300)] + [(7, "a b c d")], "doc_id long, text string")
+    got = substring.remove_passages(words, 4, 2).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == brute_words([tuple(r) for r in words.collect()], 4)
+
+
 def brute_words(rows, length):
     first = {}
     split = [(i, (t or "").encode().split()) for i, t in rows]
