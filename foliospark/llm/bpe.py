@@ -2,8 +2,8 @@
 
 A text is cut at ASCII white space, where the vocabulary's normaliser and splitting pattern
 can never join two sides, and each distinct word is encoded once per batch.  A word of more
-than ``LONG`` characters (a text without spaces) is not given to the tokenizer as a whole:
-its pieces are halved down to leaves, the leaves are encoded in one parallel batch, and the
+than ``LONG`` bytes is not given to the tokenizer as a whole:
+its pieces of more than ``LEAF`` characters are halved down to leaves, the leaves are encoded in one parallel batch, and the
 halves are joined bottom-up.  At each join a window of the last k tokens on the left and the
 first k on the right is encoded again, k growing until the window starts with the left side's
 own token and ends with the right side's own token.  Then every pair of neighbouring tokens
@@ -24,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LONG, LEAF, CACHE = 2048, 256, 100_000
+from foliospark.llm.common import per_task
+
+LONG, LEAF, CACHE = 24, 24, 50_000
 #: Printable ASCII and Latin-1 letters: composed already, and lower-cased alike everywhere.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
@@ -48,7 +50,8 @@ class TreeBpe:
         # The same merges for a part that does not end its word, and for one that does.
         self.inner = Tokenizer(models.BPE(vocab=spec["model"]["vocab"], merges=merges))
         self.final = Tokenizer(models.BPE(vocab=spec["model"]["vocab"], merges=merges, end_of_word_suffix=self.suffix or None))
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        #: (ids, decoded text, pieces that took the tree) of words, and (ids, text) of their plain pieces.
+        self.words: dict[bytes, tuple[bytes, bytes, int]] = {}
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
         # The vocabulary's own splitting pattern for the plain characters, where \\p{L} and \\p{N} are known.
         split = next((p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"), None)
@@ -97,28 +100,29 @@ class TreeBpe:
             spans, coded = new_spans, new_coded
         return [t for t, _ in coded[0]]
 
-    def encode_long(self, word: str) -> list[int]:
-        """Ids of a word without ASCII white space, whatever its length."""
+    def encode_long(self, word: str) -> tuple[list[int], int]:
+        """Ids of a word without ASCII white space, whatever its length, and how many of its pieces took the tree."""
         ids: list[int] = []
-        at = 0
+        at = trees = 0
         for m in [*(self.special_re.finditer(word) if self.special_re else ()), None]:
             part = word[at : m.start() if m else len(word)]
             if part:
                 for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part)):
                     if len(piece) > self.leaf:
                         ids += self.tree(piece)
+                        trees += 1
                     else:
                         ids += [t for t, _ in self._parts([piece], [True])[0]]
             if m:
                 ids.append(self.special[m[0]])
                 at = m.end()
-        return ids
+        return ids, trees
 
     # -- whole texts ----------------------------------------------------------
     def pack(self, ids: list[int], tokens: list[str]) -> tuple[bytes, bytes]:
         return struct.pack(f"<{len(ids)}I", *ids), " ".join(tokens).encode()
 
-    def _plain(self, word: str) -> tuple[bytes, bytes]:
+    def _plain(self, word: str) -> tuple[bytes, bytes, int]:
         """A short word of plain characters, from the codes of its pieces."""
         ids, text = [], []
         for piece in self.split.findall(word.lower()):
@@ -129,27 +133,27 @@ class TreeBpe:
                     self.pieces[piece] = got
             ids.append(got[0])
             text.append(got[1])
-        return b"".join(ids), b" ".join(text)
+        return b"".join(ids), b" ".join(text), 0
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+    def _learn(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes, int]]:
         short, new = [], {}
         for w in words:
-            if len(w) <= self.leaf and self.split and PLAIN.fullmatch(x := w.decode()) and "<|" not in x:
+            if len(w) <= self.long and self.split and PLAIN.fullmatch(x := w.decode()) and "<|" not in x:
                 new[w] = self._plain(x)
             elif len(w) <= self.long:
                 short.append(w)
         for i in range(0, len(short), 8192):
             part = short[i : i + 8192]
             for w, e in zip(part, self.tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                new[w] = self.pack(e.ids, e.tokens)
+                new[w] = *self.pack(e.ids, e.tokens), 0
         for w in words:
             if len(w) > self.long:
-                ids = self.encode_long(w.decode())
-                new[w] = self.pack(ids, [self.tok.id_to_token(i) for i in ids])
+                ids, trees = self.encode_long(w.decode())
+                new[w] = *self.pack(ids, [self.tok.id_to_token(i) for i in ids]), trees
         return new
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8) of each text."""
+    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes, int]]:
+        """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8, pieces that took the tree) of each text."""
         split = [(t or "").encode().split() for t in texts]
         known = self.words
         new = self._learn(set(chain.from_iterable(split)) - known.keys())
@@ -161,40 +165,43 @@ class TreeBpe:
                     known[w] = new[w]
         for words in split:
             found = [known.get(w) or new[w] for w in words]
-            yield b"".join([x for x, _ in found]), b" ".join([y for _, y in found if y])
+            yield b"".join([x for x, _, _ in found]), b" ".join([y for _, y, _ in found if y]), sum([n for _, _, n in found])
 
 
-def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Encodes and decodes the whole ``text`` of each document.
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and on demand the ids themselves
-    (``ids`` array<int>) and the ``decoded`` text.  A null or empty text has 0 tokens; rows
-    are kept one by one, so repeated documents give repeated rows and other columns are
-    ignored.  No shuffle: one pass over the scan, memory bounded by a batch and the word cache."""
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256, n_tree (pieces encoded by tree concatenation), and on demand the
+    ids themselves (``ids`` array<int>), the ``decoded`` text, and the columns named in ``carry``.  A null or empty text has
+    0 tokens; rows are kept one by one, so repeated documents give repeated rows and other columns are ignored.  No
+    shuffle: one pass over the scan, memory bounded by a batch, the longest text and the word cache."""
+    carry = carry or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One coder a task: kept for a worker's life, its tables would stay beside the next stage's.
         bpe = TreeBpe(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 coded = list(bpe.encode_batch(part.column(1).to_pylist()))
                 out = [
                     part.column(0),
-                    pa.array([len(i) // 4 for i, _ in coded], pa.int64()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i, _ in coded]),
-                    pa.array([hashlib.sha256(d).hexdigest() for _, d in coded]),
+                    pa.array([len(i) // 4 for i, _, _ in coded], pa.int64()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i, _, _ in coded]),
+                    pa.array([hashlib.sha256(d).hexdigest() for _, d, _ in coded]),
+                    pa.array([n for _, _, n in coded], pa.int64()),
                 ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_tree"]
                 if keep_ids:
-                    ends = np.cumsum([0, *[len(i) // 4 for i, _ in coded]]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([i for i, _ in coded]), "<i4"))))
+                    ends = np.cumsum([0, *[len(i) // 4 for i, _, _ in coded]]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([i for i, _, _ in coded]), "<i4"))))
                     names.append("ids")
                 if keep_text:
-                    out.append(pa.array([d.decode() for _, d in coded]))
+                    out.append(pa.array([d.decode() for _, d, _ in coded]))
                     names.append("decoded")
-                yield pa.RecordBatch.from_arrays(out, names=names)
+                yield pa.RecordBatch.from_arrays([*out, *part.columns[2:]], names=[*names, *carry])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_tree long"
     schema += ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    schema += "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *[f"`{c}`" for c in carry]).mapInArrow(per_task(run), schema)

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from foliospark.llm.common import per_task
+
 MARK, PENALTY, CACHE = "▁", 10.0, 400_000
 
 
@@ -135,15 +137,6 @@ def sentencepiece_vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
-_counters: dict[str, UnigramCounter] = {}
-
-
-def counter(path: str) -> UnigramCounter:
-    if path not in _counters:
-        _counters[path] = UnigramCounter(sentencepiece_vocabulary(path))
-    return _counters[path]
-
-
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and the best path's score of each whole ``text``.
 
@@ -152,11 +145,11 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     word cache."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(vocabulary)
+        c = UnigramCounter(sentencepiece_vocabulary(vocabulary))  # ends with its task
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 got = [c.count(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(per_task(run), "doc_id long, n_tokens long, score double")

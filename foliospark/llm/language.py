@@ -1,7 +1,8 @@
 """Operator 5: language identification by script, word scores and a switching penalty.
 
 Fit: character trigrams of the words of a bounded sample of labelled rows (``max_docs`` rows
-of each language, about, chosen by a hash of the id) give each language a smoothed model.
+of each language, about, chosen by a hash of the id) give each language a smoothed model; all of the sample's
+trigrams count.
 Predict: a word's script narrows the languages to those seen with it, its trigrams score
 each of them, and Viterbi over the words with a penalty for each switch labels the spans of
 a text.  Most texts stay in one language; that this is optimal is proved from running sums
@@ -22,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.llm.common import per_task
+
 WORD = re.compile(r"[^\W\d_]+")
-MAX_DOCS, MAX_GRAMS, SWITCH, CACHE = 400, 200_000, 20.0, 400_000
+MAX_DOCS, MAX_LANGS, SWITCH, CACHE = 400, 1000, 20.0, 120_000
 #: First code points of Unicode script ranges.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "indic"), (0xE00, "thai"), (0xE80, "asian"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"), (0xFF21, "latin"), (0xFF5B, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x30000, "other")]
 STARTS = [a for a, _ in SCRIPTS]
@@ -55,11 +58,10 @@ class LanguageModel:
     scripts: dict[str, np.ndarray]  # whether a language is a candidate
     switch: float = SWITCH
     index: dict[str, int] = field(default_factory=dict)
-    scores: np.ndarray | None = None
-    sizes: np.ndarray | None = None
+    known: tuple[np.ndarray, ...] | None = None
 
-    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by language, and letters, of new words."""
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores by language, letters, and trigrams of new words."""
         get, unseen = self.grams.get, len(self.grams)
         ids, starts, letters, masks = [], [], [], []
         for w in words:
@@ -71,33 +73,36 @@ class LanguageModel:
         for i, m in enumerate(masks):
             if m is not None and not m.all():
                 scores[i, ~m] -= 1000.0
-        return scores, np.array(letters, np.int64)
-
-    def label(self, texts: list[list[str]]) -> Iterator[tuple[str, float, np.ndarray]]:
-        """(language, score, label of each word) of texts given as lists of lower-case words."""
-        if self.scores is None:
-            self.scores, self.sizes = np.zeros((0, len(self.langs))), np.zeros(0, np.int64)
-        known = self.index
-        fresh = list({w for t in texts for w in t} - known.keys())
-        index, scores, sizes = known, self.scores, self.sizes
+        return scores, np.array(letters, np.int64), np.diff([*starts, len(ids)])
+
+    def label(self, texts: list[list[str]]) -> Iterator[tuple[str, float, np.ndarray, float]]:
+        """(language, score, label of each word, mean log score of a trigram) of texts given as lists of lower-case words.
+
+        The first ``CACHE`` short words stay known; the others are scored once a call."""
+        if self.known is None:
+            self.known = (np.zeros((0, len(self.langs))), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        index, now = self.index, self.known
+        fresh = list({w for t in texts for w in t} - index.keys())
         if fresh:
-            more, letters = self.learn(fresh)
-            scores, sizes = np.concatenate([scores, more]), np.concatenate([sizes, letters])
-            index = {w: i for i, w in enumerate(fresh, len(known))}
-            if len(known) + len(fresh) <= CACHE:
-                known.update(index)
-                self.scores, self.sizes, index = scores, sizes, known
-            else:
-                index = _Both(known, index)
+            stay = [w for w in fresh if len(w) < 32][: max(0, CACHE - len(index))]
+            if stay:
+                index.update(zip(stay, range(len(index), len(index) + len(stay)), strict=True))
+                now = self.known = tuple(np.concatenate(x) for x in zip(self.known, self.learn(stay), strict=True))
+            rest = [w for w in fresh if w not in index]
+            if rest:
+                now = tuple(np.concatenate(x) for x in zip(now, self.learn(rest), strict=True))
+                index = _Both(index, dict(zip(rest, range(len(index), len(index) + len(rest)), strict=True)))
+        scores, sizes, grams = now
         for words in texts:
             if not words:
-                yield "und", 0.0, np.zeros(0, np.int64)
+                yield "und", 0.0, np.zeros(0, np.int64), 0.0
                 continue
             at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-            path = self.viterbi(scores[at])
+            own = scores[at]
+            path = self.viterbi(own)
             letters = np.bincount(path, weights=sizes[at], minlength=len(self.langs))
             best = int(letters.argmax())
-            yield self.langs[best], float(letters[best] / letters.sum()), path
+            yield self.langs[best], float(letters[best] / letters.sum()), path, float(own[np.arange(len(at)), path].sum() / grams[at].sum())
 
     def viterbi(self, s: np.ndarray) -> np.ndarray:
         n, width = s.shape
@@ -133,14 +138,17 @@ class _Both:
         return self.new[w] if got is None else got
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, switch: float = SWITCH) -> LanguageModel | None:
-    """Learns from a bounded sample: about ``max_docs`` rows of each language, by a hash of the
-    id, and the ``max_grams`` commonest (language, trigram) counts.  Both bounds are parameters;
-    the driver receives no more than that.  None if there is nothing to learn from."""
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS, switch: float = SWITCH) -> LanguageModel | None:
+    """Learns from a bounded sample: about ``max_docs`` labelled rows of each language, by a hash of the id.
+
+    The driver receives the languages with their counts (more than ``max_langs`` are an error: the column is no
+    language then) and the sample's trigram counts.  None if there is nothing to learn from."""
     rows = training_rows(docs)
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if not have:
         return None
+    if len(have) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     share = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, min(1.0, max_docs / n))])
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1_000_000)) / 1e6
     sample = rows.where(unit < F.element_at(share, F.col("lang"))).select("lang", "text")
@@ -156,8 +164,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, s
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([found[k] for k in keys], pa.int64())], names=["lang", "kind", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, kind string, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("kind").desc(), F.col("n").desc(), "lang", "gram").limit(max_grams).collect()
+    counts = sample.mapInArrow(per_task(count), "lang string, kind string, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    top = counts.orderBy("kind", "lang", "gram").collect()
     langs = sorted(have)
     at = {x: i for i, x in enumerate(langs)}
     grams = {g: i for i, g in enumerate(sorted({r["gram"] for r in top if r["kind"] == "g"}))}
@@ -185,11 +193,11 @@ def identify(docs: DataFrame, model: LanguageModel | None, spans: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(model.langs, model.grams, model.table, model.scripts, model.switch) if model else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = [(t or "") for t in part.column(2).to_pylist()]
                 words = [WORD.findall(t.lower()) for t in texts]
-                got = list(own.label(words)) if own else [("und", 0.0, np.zeros(0, np.int64))] * len(texts)
+                got = list(own.label(words)) if own else [("und", 0.0, np.zeros(0, np.int64), 0.0)] * len(texts)
                 out = [part.column(0), part.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
                 names = ["doc_id", "held_out", "lang_pred", "score"]
                 if spans:
@@ -199,7 +207,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, spans: bool = False)
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
     schema += ", spans array<struct<first:int,last:int,lang:string>>" * spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(per_task(run), schema)
 
 
 def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
@@ -211,20 +219,28 @@ def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that have a language: not ``und``, and enough of the text's
-    letters (a share of ``min_score``) in words of one language.  A null lang takes the prediction."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    """The rows of ``docs``, all columns, that have a language.
+
+    Not ``und``; enough of the text's letters (a share of ``min_score``) in words of one language; and trigrams that are
+    nearer to those of a language than to unseen ones: the mean log score is above the middle between that of a trigram
+    picked evenly and that of an unseen one (letter junk, scripts and languages never learned lie below).  A null lang takes the
+    prediction.  Nulls and empty texts go; repeated rows and null ids are judged one by one; an empty table stays empty."""
+    marks = ["__lang", "__score", "__mean"]
+    kinds = [T.StringType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(marks, kinds, strict=True)]])
     text_at = docs.columns.index("text")
+    least = (float(model.table[-1].max()) - float(np.log(max(1, len(model.grams))))) / 2 if model else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(model.langs, model.grams, model.table, model.scripts, model.switch) if model else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 words = [WORD.findall((t or "").lower()) for t in part.column(text_at).to_pylist()]
-                got = list(own.label(words)) if own else [("und", 0.0, None)] * len(words)
-                cols = [*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, "__lang", "__score"])
+                got = list(own.label(words)) if own else [("und", 0.0, None, 0.0)] * len(words)
+                cols = [pa.array([g[i] for g in got], k) for i, k in ((0, pa.string()), (1, pa.float64()), (3, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *marks])
 
-    kept = docs.mapInArrow(run, schema).where((F.col("__lang") != "und") & (F.col("__score") >= min_score))
+    found = docs.mapInArrow(per_task(run), schema)
+    kept = found.where((F.col("__lang") != "und") & (F.col("__score") >= min_score) & (F.col("__mean") > least))
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)

@@ -26,10 +26,10 @@ def test_tree_encoding_equals_the_library():
         if k % 5 == 0:
             text = text[:50] + "<|endoftext|>" + text[50:]
         want = lib.encode(text, add_special_tokens=False).ids
-        packed, decoded = next(iter(tree.encode_batch([text])))
+        packed, decoded, _ = next(iter(tree.encode_batch([text])))
         assert ids_of(packed) == want and decoded.decode() == lib.decode(want, skip_special_tokens=False)
         if " " not in text:
-            assert tree.encode_long(text) == want
+            assert tree.encode_long(text)[0] == want
 
 
 def test_encoding_rows(docs, empty, texts):
@@ -43,6 +43,18 @@ def test_encoding_rows(docs, empty, texts):
     assert bpe.encode(empty, WORD_BPE).count() == 0
 
 
+def test_long_words_take_the_tree(spark):
+    rng, lib = random.Random(5), Tokenizer.from_file(WORD_BPE)
+    long = "".join(rng.choice("theinandoré") for _ in range(1_000_000))
+    texts = [long, "short words only", "a " + long[:25] + " b", "é" * 5000 + "1" * 300, None]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string, ids int")
+    rows = sorted(bpe.encode(df, WORD_BPE, keep_ids=True, keep_text=True).collect())
+    for r in rows:
+        want = lib.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == want and r["decoded"] == lib.decode(want, skip_special_tokens=False)
+    assert [r["n_tree"] > 0 for r in rows] == [True, False, True, True, False]
+
+
 # -- 8: counting ------------------------------------------------------------------
 def test_counts_equal_the_library():
     v = counting.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
