@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from foliospark.llm.common import per_task
 
-LONG, LEAF, CACHE = 24, 24, 50_000
+LONG, LEAF, CACHE = 24, 24, 100_000
 #: Printable ASCII and Latin-1 letters: composed already, and lower-cased alike everywhere.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 

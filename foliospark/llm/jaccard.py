@@ -13,7 +13,8 @@ makes buckets small, while no pair depends on it.  Equal sets are one point.
 Buckets are compared in rounds.  At first a document goes to one of its marks only, which joins most copies;
 from then on marks whose documents are all in one component need no comparison.  At the end every other mark is a bucket
 with all its documents (marks with the same documents once).  Buckets above ``block`` documents are split, and blocks
-compared two by two, but for those that hold one component.  Overlaps are counted on 64-bit hashes of the shingles.
+compared two by two, but for those that hold one component.  Only points travel at first; the documents for which the bounds leave a
+partner then come with their sets.  Overlaps are counted on 64-bit hashes of the shingles.
 """
 
 from __future__ import annotations
@@ -94,19 +95,38 @@ def frequent(docs: DataFrame, words: int, sample: int = SAMPLE, most: int = FREQ
     return Order(top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy())
 
 
+def groups_of(n: int) -> int:
+    """Groups of a point of n shingles: about four shingles each."""
+    return min(1024, max(16, 1 << max(0, (n - 1) // 4).bit_length()))
+
+
+def point(own: np.ndarray) -> bytes:
+    groups = groups_of(len(own))
+    counts = np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(body: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(body, np.uint16 if n < 1 << 16 else np.uint32).astype(np.int32)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of fewer groups."""
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
+def needed(percent: int, n: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The least overlap of sets of these sizes that link."""
+    return -(-percent * (n + other) // (100 + percent))
+
+
 class CountTree:
     """A packed R-tree over count vectors; its nodes also know whether all below are in one component."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None):
-        self.percent = percent
-        top = max(map(len, sets))
-        groups = min(512, max(16, 1 << math.ceil(math.log2(max(1, top / 24)))))
-        kind = np.int32 if top > 30_000 else np.int16
-        points = np.stack([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets]).astype(kind)
-        self.order = self._packed(points)
-        self.points, self.sets = points[self.order], [sets[i] for i in self.order]
-        self.n = np.array([len(s) for s in self.sets])
-        self.labels = np.unique(np.arange(len(sets)) if labels is None else labels, return_inverse=True)[1][self.order]
+    def __init__(self, points: np.ndarray, n: np.ndarray, percent: int, labels: np.ndarray | None = None):
+        self.percent, self.order = percent, self._packed(points)
+        self.points, self.n = points[self.order], n[self.order]
+        self.labels = np.unique(np.arange(len(n)) if labels is None else labels, return_inverse=True)[1][self.order]
         self.levels = []  # (points in a node, largest counts, least and greatest size), leaves first
         most, low, high, span = self.points, self.n, self.n, 1
         while len(most) > 1:
@@ -114,7 +134,7 @@ class CountTree:
             cuts = np.arange(0, len(most), fan)
             most, low, high, span = np.maximum.reduceat(most, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), span * fan
             self.levels.append((span, most, low, high))
-        self._mark()
+        self.mark()
 
     @staticmethod
     def _packed(points: np.ndarray) -> np.ndarray:
@@ -131,7 +151,7 @@ class CountTree:
             todo += [(a, mid), (mid, b)]
         return order
 
-    def _mark(self) -> None:
+    def mark(self) -> None:
         """Of each node the component of all its points, or -1."""
         self.whole = []
         for span, *_ in self.levels:
@@ -139,9 +159,6 @@ class CountTree:
             low, high = np.minimum.reduceat(self.labels, cuts), np.maximum.reduceat(self.labels, cuts)
             self.whole.append(np.where(low == high, low, -1))
 
-    def needed(self, n: int, other: np.ndarray) -> np.ndarray:
-        return -(-self.percent * (n + other) // (100 + self.percent))
-
     def before(self, q: int) -> tuple[np.ndarray, np.ndarray]:
         """Points before q in the order, of other components, whose bound reaches the threshold; and by how much it does."""
         n, p, own = int(self.n[q]), self.points[q], self.labels[q]
@@ -151,45 +168,86 @@ class CountTree:
             span, counts, low, high = self.levels[i]
             at = at[(at * span < q) & (self.whole[i][at] != own) & (high[at] >= least) & (low[at] <= most)]
             bound = np.minimum(counts[at], p).sum(axis=1)
-            at = at[bound >= self.needed(n, np.maximum(low[at], least))]
+            at = at[bound >= needed(self.percent, n, np.maximum(low[at], least))]
             fan = LEAF if not i else FAN
             at = (at[:, None] * fan + np.arange(fan)).ravel()
             at = at[at < (len(self.n) if not i else len(self.levels[i - 1][1]))]
             if not len(at):
                 return at, at
         at = at[(at < q) & (self.labels[at] != own) & (self.n[at] >= least) & (self.n[at] <= most)]
-        spare = np.minimum(self.points[at], p).sum(axis=1) - self.needed(n, self.n[at])
+        spare = np.minimum(self.points[at], p).sum(axis=1) - needed(self.percent, n, self.n[at])
         return at[spare >= 0], spare[spare >= 0]
 
-    def linked(self, a: int, b: int) -> bool:
-        x, y = self.sets[a], self.sets[b]
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        both = int((y[at] == x).sum())
-        return 100 * both >= self.percent * (len(x) + len(y) - both)
-
-    def join(self) -> list[tuple[int, int]]:
-        """Links (as positions in the given sets) that connect all that are linked; those of one component are not compared."""
-        out = []
-        for q in range(1, len(self.n)):
-            at, spare = self.before(q)
-            at = at[np.argsort(-spare, kind="stable")]
-            while len(at):
-                b, at = int(at[0]), at[1:]
-                if self.linked(q, b):
-                    out.append((int(self.order[q]), int(self.order[b])))
-                    self.labels[self.labels == self.labels[b]] = self.labels[q]
-                    self._mark()
-                    at = at[self.labels[at] != self.labels[q]]
-        return out
-
-
-def link_bucket(ids: list[int], sets: list[np.ndarray], percent: int, labels: list[int]) -> list[tuple[int, int]]:
-    """Links of documents of one bucket, enough to connect all that are linked in it."""
-    if len(ids) < 2:
+
+def may_link(n: np.ndarray, bodies: list[bytes], labels: np.ndarray, percent: int) -> np.ndarray:
+    """Which points have a partner of another component that the bounds do not rule out.
+
+    Points of about the same size have the same groups; those of more are folded beside those of fewer."""
+    out = np.zeros(len(n), bool)
+    points = [unpacked(b, int(m)) for b, m in zip(bodies, n, strict=True)]
+    wide = np.array([len(p) for p in points])
+    for groups in np.unique(wide).tolist():
+        at = np.flatnonzero(wide == groups)
+        at = np.append(at, np.flatnonzero((wide > groups) & (n * percent <= 100 * n[at].max())))
+        if len(at) < 2 or labels[at].min() == labels[at].max():
+            continue
+        own = np.stack([folded(points[i], groups) for i in at])
+        if len(at) <= 4 * LEAF:
+            bound = np.minimum(own[:, None], own[None]).sum(axis=2)
+            ok = (bound >= needed(percent, n[at][:, None], n[at][None])) & (labels[at][:, None] != labels[at][None])
+            out[at[ok.any(axis=1)]] = True
+            continue
+        tree = CountTree(own, n[at], percent, labels[at])
+        for q in range(1, len(at)):
+            found, _ = tree.before(q)
+            if len(found):
+                out[at[tree.order[q]]] = True
+                out[at[tree.order[found]]] = True
+    return out
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def link_bucket(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (positions) that connect all sets that are linked; sets known to be of one component are not compared."""
+    if len(sets) < 2:
         return []
-    return [(ids[a], ids[b]) for a, b in CountTree(sets, percent, np.array(labels)).join()]
+    groups = min(512, groups_of(max(map(len, sets))))
+    points = np.stack([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
+    tree, out = CountTree(points, np.array([len(s) for s in sets]), percent, labels), []
+    for q in range(1, len(sets)):
+        at, spare = tree.before(q)
+        at = at[np.argsort(-spare, kind="stable")]
+        while len(at):
+            b, at = int(at[0]), at[1:]
+            if linked(sets[tree.order[q]], sets[tree.order[b]], percent):
+                out.append((int(tree.order[q]), int(tree.order[b])))
+                tree.labels[tree.labels == tree.labels[b]] = tree.labels[q]
+                tree.mark()
+                at = at[tree.labels[at] != tree.labels[q]]
+    return out
+
+
+def tasks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each task in turn, without the task, from batches in order of tasks; equal rows once."""
+    held: dict[tuple, None] = {}
+    last = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for task, *row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                if task != last and held:
+                    yield last, list(held)
+                    held = {}
+                last = task
+                held[tuple(row)] = None
+    if held:
+        yield last, list(held)
 
 
 class Join:
@@ -214,26 +272,35 @@ class Join:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    n, s1, s2, marks = [], [], [], []
+                    n, s1, s2, points, marks = [], [], [], [], []
                     for text in part.column(3).to_pylist():
                         own = shingles(text, words, hashes)
                         h = xxhash.xxh3_128_intdigest(own)
                         n.append(len(own))
                         s1.append((h >> 64) - (1 << 63))
                         s2.append((h & ((1 << 64) - 1)) - (1 << 63))
+                        points.append(point(own))
                         marks.append(order.marks(own, percent).view(np.int64) if len(own) else np.zeros(0, np.int64))
                     ends = pa.array(np.cumsum([0, *map(len, marks)]).astype(np.int32))
-                    cols = [*part.columns[:3], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
+                    cols = [*part.columns[:3], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(points, pa.binary())]
                     cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(marks))))
-                    yield pa.RecordBatch.from_arrays(cols, names=["k", "f", "no_id", "n", "s1", "s2", "marks"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["k", "f", "no_id", "n", "s1", "s2", "point", "marks"])
 
-        schema = "k long, f long, no_id boolean, n long, s1 long, s2 long, marks array<long>"
+        schema = "k long, f long, no_id boolean, n long, s1 long, s2 long, point binary, marks array<long>"
         return self.docs.select("k", "f", "no_id", "text").mapInArrow(per_task(run), schema)
 
-    def _compared(self, tasks: DataFrame) -> DataFrame:
+    def _compared(self, tasks: DataFrame, points: DataFrame) -> DataFrame:
         """Links (a, b) within each task of (id, label, task)."""
         words, percent = self.words, self.percent
 
+        def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for task, rows in tasks_of(batches):
+                ids, labels, n, bodies = zip(*rows, strict=True)
+                at = np.flatnonzero(may_link(np.array(n), list(bodies), np.array(labels), percent))
+                if len(at):
+                    cols = (np.full(len(at), task), np.array(ids)[at], np.array(labels)[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["task", "id", "label"])
+
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
@@ -242,30 +309,19 @@ class Join:
                     own = [shingles(t, words, hashes).tobytes() for t in part.column(3).to_pylist()]
                     yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, pa.binary())], names=["task", "id", "label", "own"])
 
-        def out(held: dict) -> pa.RecordBatch:
-            keys = list(held)
-            got = link_bucket([i for i, _ in keys], [np.frombuffer(s, np.uint64) for _, s in keys], percent, list(held.values()))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
-
         def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[tuple[int, bytes], int] = {}
-            last = None
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    for task, i, label, own in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                        if task != last and held:
-                            yield out(held)
-                            held = {}
-                        last = task
-                        held[i, own] = label
-            if held:
-                yield out(held)
-
-        keys = self.equal.select("id", "k", "f")
-        spread = materialize(tasks.join(keys, "id").select("k", "f", "task", "id", "label"))
-        held = self.docs.join(small(spread, self.broadcast_rows), ["k", "f"]).select("task", "id", "label", "text").mapInArrow(per_task(sets), "task long, id long, label long, own binary")
-        return held.repartition("task").sortWithinPartitions("task").mapInArrow(per_task(link), "a long, b long")
+            for _, rows in tasks_of(batches):
+                got = link_bucket([np.frombuffer(r[2], np.uint64) for r in rows], percent, np.array([r[1] for r in rows]))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[x[i]][0] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        def by_task(df: DataFrame) -> DataFrame:
+            return df.repartition("task").sortWithinPartitions("task")
+
+        near = by_task(tasks.join(points, "id").select("task", "id", "label", "n", "point")).mapInArrow(per_task(bounds), "task long, id long, label long")
+        near = materialize(near.distinct().join(self.equal.select("id", "k", "f"), "id"))
+        held = self.docs.join(small(near, self.broadcast_rows), ["k", "f"]).select("task", "id", "label", "text").mapInArrow(per_task(sets), "task long, id long, label long, own binary")
+        return by_task(held).mapInArrow(per_task(link), "a long, b long")
 
     def _blocks(self):
         return F.greatest(F.ceil(F.col("c") / self.block), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("int")
@@ -290,12 +346,15 @@ class Join:
     def groups(self) -> DataFrame:
         """id, component of the distinct sets that link with others."""
         same = (self.rows["s1"] == self.equal["s1"]) & (self.rows["s2"] == self.equal["s2"]) & (self.rows["k"] == self.equal["k"]) & (self.rows["f"] == self.equal["f"])
-        marks = self.rows.join(self.equal, same).select("id", "n", F.explode("marks").alias("mark"))
+        reps = self.rows.join(self.equal, same)
+        marks = reps.select("id", "n", F.explode("marks").alias("mark"))
         twice = materialize(marks.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"))
         shared = materialize(marks.join(small(twice, self.broadcast_rows), "mark").select("id", "n", "mark", F.col("id").alias("label")))
+        points = reps.select("id", "n", "point").join(shared.select("id").distinct(), "id", "left_semi")
+        points = materialize(points)
         links = found = None
         for seed in range(4):
-            links = materialize(self._compared(self._first_marks(shared, seed)))
+            links = materialize(self._compared(self._first_marks(shared, seed), points))
             links = links if found is None else links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
             found = materialize(components(links))
             sizes = shared.select("id", "n", "mark").join(found, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
@@ -305,7 +364,7 @@ class Join:
             # Large buckets are worth another round at one mark; blocks of it mix what the last ones held apart.
             if not groups.where(self._blocks() > 1).limit(1).count():
                 break
-        links = materialize(self._compared(self._all_marks(shared, groups)))
+        links = materialize(self._compared(self._all_marks(shared, groups), points))
         if not links.limit(1).count():
             return found
         return components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))

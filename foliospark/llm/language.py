@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from foliospark.llm.common import per_task
 
 WORD = re.compile(r"[^\W\d_]+")
-MAX_DOCS, MAX_LANGS, SWITCH, CACHE = 400, 1000, 20.0, 120_000
+MAX_DOCS, MAX_LANGS, SWITCH, CACHE = 400, 1000, 20.0, 250_000
 #: First code points of Unicode script ranges.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "indic"), (0xE00, "thai"), (0xE80, "asian"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"), (0xFF21, "latin"), (0xFF5B, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x30000, "other")]
 STARTS = [a for a, _ in SCRIPTS]

@@ -285,7 +285,6 @@ def test_tree_connects_all_that_link(n, low):
     rng = np.random.default_rng(6)
     base = [rng.integers(0, 1 << 63, 120).astype(np.uint64) for _ in range(3)]
     sets = [np.unique(np.append(base[i % 3][: int(rng.integers(low, 121))], rng.integers(0, 1 << 63, int(rng.integers(0, 12))).astype(np.uint64))) for i in range(n)]
-    tree = jaccard.CountTree(sets, 90)
     up = list(range(n))
 
     def find(x):
@@ -293,18 +292,30 @@ def test_tree_connects_all_that_link(n, low):
             x = up[x]
         return x
 
-    for a in range(n):
-        for b in range(a):
-            if tree.linked(a, b):
-                up[find(tree.order[a])] = find(tree.order[b])
-    want = {}
-    for i in range(n):
-        want.setdefault(find(i), set()).add(i)
-    links, up = tree.join(), list(range(n))
-    for a, b in links:
-        assert find(a) != find(b)
-        up[find(a)] = find(b)
-    got = {}
-    for i in range(n):
-        got.setdefault(find(i), set()).add(i)
-    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+    near = [(a, b) for a in range(n) for b in range(a) if jaccard.linked(sets[a], sets[b], 90)]
+    some = jaccard.may_link(np.array([len(s) for s in sets]), [jaccard.point(s) for s in sets], np.arange(n), 90)
+    assert all(some[a] and some[b] for a, b in near)
+
+    def parts(links):
+        up[:] = range(n)
+        for a, b in links:
+            up[find(a)] = find(b)
+        out = {}
+        for i in range(n):
+            out.setdefault(find(i), []).append(i)
+        return sorted(out.values())
+
+    links = jaccard.link_bucket(sets, 90)
+    assert parts(links) == parts(near) and len(links) == n - len(parts(near))
+
+
+def test_points_of_unlike_sizes_and_known_components():
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    sets = [rng.choice(base, int(m), replace=False) for m in rng.integers(1, 5000, 80)]
+    sets = [np.sort(s) for s in sets] + [base[:m] for m in (62, 64, 66, 68, 1020, 1030, 4090, 4100, 4500)]
+    n, bodies = np.array([len(s) for s in sets]), [jaccard.point(s) for s in sets]
+    near = [(a, b) for a in range(len(n)) for b in range(a) if jaccard.linked(sets[a], sets[b], 80)]
+    some = jaccard.may_link(n, bodies, np.arange(len(n)), 80)
+    assert near and all(some[a] and some[b] for a, b in near)
+    assert not jaccard.may_link(n, bodies, np.zeros(len(n)), 80).any() and not jaccard.link_bucket(sets, 80, np.zeros(len(n)))
