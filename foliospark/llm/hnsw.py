@@ -1,12 +1,12 @@
 """Operator 1: near-duplicate embeddings by hierarchical navigable small-world graphs.
 
-Every shard holds a graph; every distinct vector asks every shard.  Many queries walk a graph in
-step: each has a beam of the best nodes seen, and all neighbours of a step are compared in one array
-operation.  A query whose beam holds nothing but links asks again with a beam twice as wide.  A sample of the queries is
-compared with brute force over the shard (the audit), by classes of queries with about as many links, so that a large
-group does not hide what small ones miss; while too few of the true links of any class are found,
-all beams widen, up to the whole shard.  Links are verified as cosines in double precision, and
-only a spanning forest of them leaves a task, beside each query's number of links.
+Every shard holds a graph; of two vectors in unlike shards one asks the other's graph, and within a shard all ask.  Many
+queries walk a graph in step: each has a beam of the best nodes seen, and all neighbours of a step are compared in one array
+operation.  A query whose beam holds nothing but links lies in a dense group and is compared with the whole shard, a few rows at a
+time.  A sample of the queries, bounded for each task, is compared with brute force over the shard (the audit), by classes of
+queries with about as many links, so that a large group does not hide what small ones miss; while too few of the true links of
+any class are found, all beams widen, up to the whole shard.  Links are verified as cosines in double precision.  Tasks keep
+components as labels of their nodes; only a spanning forest leaves them, beside the numbers of links.
 """
 
 from __future__ import annotations
@@ -18,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.components import Forest, components
+from foliospark.llm.components import components
 from foliospark.llm.common import materialize
-from foliospark.llm.vectors import by_shard, prepared
+from foliospark.llm.vectors import by_shard, half_of_shards, prepared, shard_of
 
-COSINE, LINKS, BUILD_BEAM, BEAM, SHARD, SHARDS, AUDIT, RECALL = 0.9, 12, 32, 32, 65_536, 6, 16, 0.995
+COSINE, LINKS, BUILD_BEAM, BEAM, SHARD, SHARDS, RECALL = 0.9, 12, 32, 16, 65_536, 4, 0.995
+#: One of so many queries is audited, but no more than so many of a task (about).
+AUDIT, AUDITS = 16, 2048
 #: Wider beams cost more than a comparison with the whole shard, which takes their place.
 WIDEST = 256
 QUERIES_A_TASK = 2_000_000
+#: Pairs that are looked at in one step.
+SLICE = 1 << 19
 
 
 class Graph:
@@ -185,68 +189,138 @@ class Graph:
 class Linker:
     """Finds the links of queries in one shard, widening beams until the audit passes."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, others: list[pa.Array], cosine: float):
-        self.graph, self.cosine, self.beam = Graph(ids, vectors, others[0].to_numpy()), cosine, BEAM
+    def __init__(self, shard: int, ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, cosine: float, every: int = AUDIT):
+        self.shard, self.cosine, self.beam, self.every = shard, cosine, BEAM, every
+        self.graph = g = Graph(ids, vectors, weights)
+        self.near = max(1e-5, 4e-7 * vectors.shape[1])  # what single precision may be off
         self.true = self.missed = np.zeros(64)  # links of all audited queries so far, by class
+        self.by_id = np.argsort(g.ids)
+        self.labels = np.arange(len(g.ids))  # of each node the least node of its component
+        self.heard = np.zeros(len(g.ids), np.int64)  # links that queries of other shards found to a node
 
-    def links(self, ids: np.ndarray, unit: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs that link; a query whose whole beam links asks again with twice the beam."""
-        g, todo, out = self.graph, np.arange(len(ids)), []
-        q = unit.astype(np.float32)
-        while len(todo):
-            if beam > WIDEST or beam >= len(g.ids):
-                for i in range(0, len(todo), 64):
-                    r, c = np.nonzero(q[todo[i : i + 64]] @ g.fast.T >= self.cosine - 1e-5)
-                    out.append(np.stack([todo[i + r], c]))
-                break
-            nodes, sims = g.search(q[todo], beam)
-            full = (nodes[:, -1] >= 0) & (sims[:, -1] >= self.cosine - 1e-5) & (nodes.shape[1] < len(g.ids))
-            r, c = np.nonzero((nodes >= 0) & (sims >= self.cosine - 1e-5) & ~full[:, None])
-            out.append(np.stack([todo[r], nodes[r, c]]))
-            todo, beam = todo[full], beam * 2
-        a, b = np.concatenate(out, axis=1)
-        ok = (np.einsum("ij,ij->i", unit[a], g.unit[b]) >= self.cosine) & (ids[a] != g.ids[b])
-        return a[ok], b[ok]
-
-    def __call__(self, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def verified(self, unit: np.ndarray, a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """Which pairs link: by double precision where single precision cannot tell."""
+        ok = sims >= self.cosine + self.near
+        for i in np.array_split(at := np.flatnonzero(np.abs(sims - self.cosine) < self.near), len(at) // 65_536 + 1):
+            ok[i] = np.einsum("ij,ij->i", unit[a[i]], self.graph.unit[b[i]]) >= self.cosine
+        return ok
+
+    def scanned(self, unit: np.ndarray, todo: np.ndarray, own: np.ndarray):
+        """(rows, which nodes link to them) of queries against the whole shard, a few rows at a time."""
         g = self.graph
+        step = max(1, SLICE // len(g.ids))
+        for i in range(0, len(todo), step):
+            rows = todo[i : i + step]
+            sims = unit[rows].astype(np.float32) @ g.fast.T
+            found = sims >= self.cosine + self.near
+            r, c = np.nonzero(np.abs(sims - self.cosine) < self.near)
+            found[r, c] = self.verified(unit, rows[r], c, sims[r, c])
+            at = np.flatnonzero(own[rows] >= 0)
+            found[at, own[rows[at]]] = False
+            yield rows, found
+
+    def links(self, unit: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) pairs that link, and the queries whose whole beam does; own: a query's own node, or -1."""
+        g = self.graph
+        if beam > WIDEST or beam >= len(g.ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(len(unit))
+        nodes, sims = g.search(unit.astype(np.float32), beam)
+        full = (nodes[:, -1] >= 0) & (sims[:, -1] >= self.cosine - self.near)
+        a, j = np.nonzero((nodes >= 0) & (sims >= self.cosine - self.near) & ~full[:, None])
+        b, s = nodes[a, j], sims[a, j]
+        ok = self.verified(unit, a, b, s) & (own[a] != b)
+        return a[ok], b[ok], np.flatnonzero(full)
+
+    def union(self, a: np.ndarray, b: np.ndarray, own: np.ndarray) -> None:
+        """Nodes that link to one query, and the query if it is a node, are of one component."""
+        label = self.labels[b]
+        pairs = np.unique(np.concatenate([a, a[own[a] >= 0]]) * len(self.labels) + np.concatenate([label, self.labels[own[a[own[a] >= 0]]]]))
+        of = pairs // len(self.labels)
+        some = np.flatnonzero((of[1:] == of[:-1]))
+        for x, y in zip((pairs[some] % len(self.labels)).tolist(), (pairs[some + 1] % len(self.labels)).tolist(), strict=True):
+            x, y = self.labels[x], self.labels[y]
+            if x != y:
+                self.labels[self.labels == max(x, y)] = min(x, y)
+
+    def __call__(self, ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, asked_by_own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(links, a node that links or -1) of each query; nodes are joined and hear of links on the way."""
+        g, n = self.graph, len(ids)
         unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
-        sample = np.arange(0, len(ids), AUDIT)
-        truth = ((unit[sample] @ g.unit.T >= self.cosine) & (ids[sample][:, None] != g.ids[None, :])).sum(axis=1)
-        kind = np.log2(np.maximum(truth, 1)).astype(np.int64)
-        true = self.true + np.bincount(kind, weights=truth, minlength=64)
+        at = np.minimum(np.searchsorted(g.ids, ids, sorter=self.by_id), len(g.ids) - 1)
+        own = np.where(asked_by_own, self.by_id[at], -1)
+        sample = np.flatnonzero(((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(self.every) == 0)
+        truth = np.zeros(n, np.int64)
+        for rows, found in self.scanned(unit, sample, own):
+            truth[rows] = found.sum(axis=1)
+        kind = np.log2(np.maximum(truth[sample], 1)).astype(np.int64)
+        true = self.true + np.bincount(kind, weights=truth[sample], minlength=64)
         while True:
-            a, b = self.links(ids, unit, self.beam)
-            own = np.bincount(kind, weights=np.maximum(truth - np.bincount(a, minlength=len(ids))[sample], 0), minlength=64)
+            a, b, dense = self.links(unit, own, self.beam)
+            have = np.bincount(a, minlength=n)
+            have[dense] = truth[dense]  # they are compared with all
+            off = np.bincount(kind, weights=np.maximum(truth - have, 0)[sample], minlength=64)
             # A class passes if this batch misses none of it, or if few enough are missed over all audited queries.
-            if self.beam > WIDEST or self.beam >= len(g.ids) or ((own == 0) | (self.missed + own <= (1 - RECALL) * true)).all():
-                self.true, self.missed = true, self.missed + own
-                return a, b
+            if self.beam > WIDEST or ((off == 0) | (self.missed + off <= (1 - RECALL) * true)).all():
+                self.true, self.missed = true, self.missed + off
+                break
             self.beam *= 2
+        count, to = np.bincount(a, weights=g.weights[b], minlength=n), np.full(n, -1)
+        to[a] = b
+        self.union(a, b, own)
+        other = own < 0
+        self.heard += np.bincount(b, weights=(weights * other)[a], minlength=len(g.ids)).astype(np.int64)
+        for rows, found in self.scanned(unit, dense, own):
+            count[rows] = found @ g.weights
+            some = found.any(axis=1)
+            to[rows[some]] = found[some].argmax(axis=1)
+            self.heard += (weights * other)[rows] @ found
+            hit = np.unique(np.append(self.labels[found.any(axis=0)], self.labels[own[rows[some & (own[rows] >= 0)]]]))
+            if len(hit) > 1:
+                r, c = np.nonzero(found)
+                self.union(rows[r], c, own)
+        return count.astype(np.int64), to
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, shards: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row.
-
-    Null, zero and non-finite vectors, and those of another dimension than the commonest, link with nothing;
-    equal vectors link with each other; a null id takes no part and has a null component.  Repeated rows
-    count as different vectors.  Extra columns are ignored."""
-    rows, unique, n, _ = prepared(embeddings)
-    shards = shards or max(SHARDS, -(-n // SHARD))
+def links_of(vectors: DataFrame, n: int, shards: int, cosine: float) -> DataFrame:
+    """a, b, n_links: numbers of links of distinct vectors (b null), and links (a, b) that connect all that are linked."""
     parts = max(1, -(-n // QUERIES_A_TASK))
+    every = max(AUDIT, n * (shards + 1) // (2 * shards * parts * AUDITS))
+    names = ["a", "b", "n_links"]
 
-    def ask(own: Linker, ids: np.ndarray, vectors: np.ndarray) -> list[pa.RecordBatch]:
-        a, b = own(ids, vectors)
-        count = np.bincount(a, weights=own.graph.weights[b], minlength=len(ids)).astype(np.int64)
-        forest = Forest()
-        for x, y in zip(ids[a].tolist(), own.graph.ids[b].tolist(), strict=True):
-            forest.union(x, y)
-        links = forest.links()
+    def told(ids: np.ndarray, count: np.ndarray, links: tuple[np.ndarray, np.ndarray]) -> list[pa.RecordBatch]:
         has = np.flatnonzero(count)
-        return [pa.RecordBatch.from_arrays([pa.array([*ids[has].tolist(), *[x for x, _ in links]], pa.int64()), pa.array([None] * len(has) + [y for _, y in links], pa.int64()), pa.array([*count[has].tolist(), *[0] * len(links)], pa.int64())], names=["a", "b", "n_links"])]
+        none = pa.nulls(len(has), pa.int64())
+        counts = pa.RecordBatch.from_arrays([pa.array(ids[has], pa.int64()), none, pa.array(count[has], pa.int64())], names=names)
+        a, b = links
+        return [counts, pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.zeros(len(a), np.int64))], names=names)]
+
+    def build(shard: int, ids: np.ndarray, v: np.ndarray, others: list[pa.Array]) -> Linker:
+        return Linker(shard, ids, v, others[0].to_numpy(), cosine, every)
+
+    def ask(own: Linker, ids: np.ndarray, v: np.ndarray, others: list[pa.Array]) -> list[pa.RecordBatch]:
+        count, to = own(ids, v, others[0].to_numpy(), others[1].to_numpy() == own.shard)
+        at = np.flatnonzero((to >= 0) & (others[1].to_numpy() != own.shard))
+        return told(ids, count, (ids[at], own.graph.ids[to[at]]))
+
+    def done(own: Linker) -> list[pa.RecordBatch]:
+        at = np.flatnonzero(own.labels != np.arange(len(own.labels)))
+        return told(own.graph.ids, own.heard, (own.graph.ids[at], own.graph.ids[own.labels[at]]))
+
+    rows = vectors.withColumn("home", shard_of(shards))
+    return by_shard(rows, rows, shards, parts, ["n", "home"], half_of_shards(shards), "a long, b long, n_links long", build, ask, done)
+
+
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, shards: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row.
 
-    vectors = unique.select("id", "v", "n")
-    found = materialize(by_shard(vectors, vectors, shards, parts, ["n"], "a long, b long, n_links long", lambda i, v, o: Linker(i, v, o, cosine), ask))
+    Null, zero and non-finite vectors link with nothing, and vectors of unlike dimensions not with each other; equal vectors link
+    with each other; a null id takes no part and has a null component.  Repeated rows count as different vectors.
+    Extra columns are ignored; an empty table gives an empty result."""
+    rows, unique, sizes = prepared(embeddings)
+    found = unique.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("n_links")).where("false")
+    for dim, n in sizes:
+        own = unique.where(F.col("dim") == dim).select("id", "v", "n")
+        found = found.unionByName(materialize(links_of(own, n, shards or max(SHARDS, -(-n // SHARD)), cosine)))
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("others"))
     groups = components(found.where("b is not null"))
     named = unique.select("id", "n", "h1", "h2").join(counts, "id", "left").join(groups, F.col("id") == F.col("node"), "left")

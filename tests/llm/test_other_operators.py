@@ -82,17 +82,38 @@ def test_audit_sees_small_groups_beside_a_large_one():
     hot = rng.standard_normal(32) + 0.02 * rng.standard_normal((400, 32))
     pairs = np.repeat(rng.standard_normal((56, 32)), 2, axis=0) + 0.01 * rng.standard_normal((112, 32))
     x, ids = np.concatenate([hot, pairs])[(order := rng.permutation(512))], np.arange(512)
-    own = hnsw.Linker(ids, x, [pa.array([1] * 512)], 0.9)
+    own = hnsw.Linker(0, ids, x, np.ones(512, np.int64), 0.9)
     search = own.links
 
-    def narrow(ids, unit, beam):  # finds no pair before the beam is 128
-        a, b = search(ids, unit, beam)
+    def narrow(unit, at, beam):  # finds no pair before the beam is 128
+        a, b, dense = search(unit, at, beam)
         keep = (order[a] < 400) | (beam >= 128)
-        return a[keep], b[keep]
+        return a[keep], b[keep], dense
 
     own.links = narrow
-    a, _ = own(ids, x)
-    assert sorted(order[a][order[a] >= 400]) == list(range(400, 512)) and (np.bincount(a, minlength=512)[order < 400] == 399).all()
+    count, _ = own(ids, x, np.ones(512, np.int64), np.ones(512, bool))
+    assert (count[order >= 400] == 1).all() and (count[order < 400] == 399).all()
+    ends = own.graph.ids[own.labels]
+    of = dict(zip(own.graph.ids.tolist(), ends.tolist(), strict=True))
+    assert len({of[i] for i in np.flatnonzero(order < 400)}) == 1 and len(set(of.values())) == 57
+
+
+def test_dense_groups_are_counted_in_slices():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(48) + 0.05 * rng.standard_normal((6000, 48))
+    own = hnsw.Linker(3, np.arange(6000), x, np.ones(6000, np.int64), 0.9, every=10**6)
+    for i in range(0, 1024, 512):  # queries of another shard
+        count, to = own(np.arange(512) + 10_000 + i, x[i : i + 512], np.full(512, 2), np.zeros(512, bool))
+        assert (count == 6000).all() and (to >= 0).all()
+    assert (own.heard == 2048).all() and len(set(own.labels.tolist())) == 1
+
+
+def test_links_of_exactly_the_threshold_and_of_unlike_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.19**0.5]), (3, [0.5, 0.5, 0.5]), (4, [0.5, 0.5, 0.5]), (4, [0.5, 0.5, 0.5]), (5, [-1.0, 0.0])]
+    unit = np.array(rows[1][1])
+    exact = unit[0] / np.sqrt((unit * unit).sum()) >= 0.9
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, int(exact), 1), (2, int(exact), 1 if exact else 2), (3, 2, 3), (4, 2, 3), (5, 0, 5)}
 
 
 def test_nearest(vectors):
@@ -120,12 +141,33 @@ def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((400, 16))
     mean, rotation = hamming.learn(hamming.augmented(x, 9.0), 64)
-    index = hamming.MultiIndex(np.arange(400), x, [[i] for i in range(400)], mean, rotation, 9.0, 5)
+    index = hamming.MultiIndex(x, [[i] for i in range(400)], mean, rotation, 9.0, 5)
     codes = index.code(hamming.augmented(x, 9.0))
     far = np.unpackbits(codes[:20, None] ^ codes[None], axis=2).sum(axis=2)
-    for radius in (0, 5, 17, 24, 40):
-        q, v = index.within(codes[:20], np.full(20, radius))
+    for radius in (0, 3, 5, 9, 14):
+        q, v, d = index.within(codes[:20], radius)
         assert set(zip(q.tolist(), v.tolist(), strict=True)) == {(a, b) for a, b in zip(*np.nonzero(far <= radius), strict=True)}
+        assert (d == far[q, v]).all()
+    for want in (1, 3, 50, 400):
+        q, v = index.nearest_codes(codes[:20], want)
+        edge = np.sort(far, axis=1)[:, want - 1]
+        assert set(zip(q.tolist(), v.tolist(), strict=True)) == {(a, b) for a, b in zip(*np.nonzero(far <= edge[:, None]), strict=True)}
+
+
+def test_nearest_prunes_and_reaches_its_recall(spark):
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal((300, 32))
+    x = centre[rng.integers(0, 300, 9000)] + 0.35 * rng.standard_normal((9000, 32))
+    longest = float(np.linalg.norm(x, axis=1).max())
+    mean, rotation = hamming.learn(hamming.augmented(x[:2000], longest), 256)
+    index = hamming.MultiIndex(x, [[i] for i in range(len(x))], mean, rotation, longest, 20)
+    assert index.want <= len(x) // 10
+    asked = np.arange(0, 9000, 20)
+    got = index.search(asked, x[asked], index.code(np.concatenate([x[asked], np.zeros((450, 1))], axis=1)))
+    score = x[asked] @ x.T
+    score[np.arange(450), asked] = -np.inf
+    least = np.sort(score, axis=1)[:, -20]
+    assert sum(score[q // 20, v] >= least[q // 20] for q, v, _ in got) >= 0.95 * 20 * 450
 
 
 # -- 2: mixing --------------------------------------------------------------------
