@@ -92,3 +92,8 @@ def percent_box(rect: Column, page_w: Column, page_h: Column) -> Column:
 
 def polygon_box(xs: Column, ys: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+
+
+def points_box(x: Column, y: Column) -> Column:
+    """Box of a group of points, as an aggregate."""
+    return F.struct(F.min(x).alias("x"), F.min(y).alias("y"), (F.max(x) - F.min(x)).alias("w"), (F.max(y) - F.min(y)).alias("h"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliospark.operators.shared import running_sum, same
+
 
 def first_chunk(chunks: DataFrame, keys: list[str], id_col: str, ordinal: str, value: str) -> DataFrame:
     """The first value of each id: one aggregation, no sort of whole groups."""
@@ -48,16 +50,29 @@ def padded_size(length: Column) -> Column:
 
 def directory_offsets(components: DataFrame, owner: list[str], ordinal: str, length: Column, start: int = 16) -> DataFrame:
     """Where each component starts: an exclusive running sum of padded sizes from ``start``."""
-    w = Window.partitionBy(*owner).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
-    return components.withColumn("offset", (F.lit(start) + F.coalesce(F.sum(padded_size(length)).over(w), F.lit(0))).cast("long"))
+    return running_sum(components, owner, ordinal, padded_size(length), "__offset").withColumn("offset", F.lit(start) + F.col("__offset")).drop("__offset")
+
+
+def merge_renumber(parts: DataFrame, target: str, document: str, page: str) -> DataFrame:
+    """Bag union of the pages of documents, in order, with new component names.
+
+    Pages are numbered within their document, and documents by a table of a row each."""
+    docs = parts.groupBy(target, document).agg(F.count("*").alias("__n"))
+    row = Window.partitionBy(target).orderBy(document)
+    docs = docs.select(target, document, (F.row_number().over(row) - 1).alias("__doc"), F.coalesce(F.sum("__n").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    rows = running_sum(parts, [target, document], page, F.lit(1), "__at")
+    out = rows.join(docs, same(rows, docs, [target, document]), "left")
+    index = (F.col("__first") + F.col("__at")).cast("int")
+    out = out.select(*[rows[c] for c in parts.columns], index.alias("page_index"), "__doc")
+    return out.withColumn("component_id", F.format_string("d%dp%04d.djvu", "__doc", "page_index")).drop("__doc")
+
 
+def page_listing(pages: DataFrame) -> DataFrame:
+    """path, pages, listing: the number of pages of each document and their sizes as JSON, in order of page_index.
 
-def merge_renumber(parts: DataFrame, document: str, page: str) -> DataFrame:
-    """Bag union of the pages of documents, in order, with new component names."""
-    order = F.row_number().over(Window.partitionBy("target").orderBy(document, page)) - 1
-    first = F.dense_rank().over(Window.partitionBy("target").orderBy(document)) - 1
-    rows = parts.withColumn("page_index", order).withColumn("__doc", first)
-    return rows.withColumn("component_id", F.format_string("d%dp%04d.djvu", "__doc", "page_index")).drop("__doc")
+    One row holds the pages of one document; the format counts pages in two bytes."""
+    row = F.struct((F.col("page_index") + 1).alias("page"), "width", "height", "dpi")
+    return pages.where("path is not null").groupBy("path").agg(F.count("*").alias("pages"), F.to_json(F.array_sort(F.collect_list(row))).alias("listing"))
 
 
 def page_range(text: Column) -> Column:

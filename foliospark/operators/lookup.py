@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,20 +36,27 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def nearest_symbol(symbols: DataFrame, size: str, bits: str, key: str, budget: int) -> DataFrame:
+def nearest_symbol(symbols: DataFrame, size: str, bits: str, key: str, budget: int, width: int = 64, agree: int = 2) -> DataFrame:
     """For each symbol the earlier one of the same size at the least distance within the budget.
 
-    Pigeonhole: patterns that differ in at most ``budget`` bits agree in one of ``budget`` + 1 bit
-    ranges, so candidates come from equi-joins on ranges and not from all pairs of a size."""
-    parts = budget + 1
-    width = -(-64 // parts)
-    ranges = F.array(*[F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(F.col(bits), min(63, i * width)).bitwiseAND((1 << width) - 1 if width < 63 else -1).alias("slice")) for i in range(parts)])
-    own = symbols.select(F.col(size).alias("size"), F.col(key).alias("key"), F.col(bits).alias("bits"), F.explode(ranges).alias("r"))
-    a, b = own.alias("a"), own.alias("b")
-    on = (F.col("a.size") == F.col("b.size")) & (F.col("a.r.part") == F.col("b.r.part")) & (F.col("a.r.slice") == F.col("b.r.slice")) & (F.col("b.key") < F.col("a.key"))
-    pairs = a.join(b, on).select(F.col("a.size").alias("size"), F.col("a.key").alias("key"), F.col("b.key").alias("near"), hamming(F.col("a.bits"), F.col("b.bits")).alias("distance")).where(F.col("distance") <= budget)
-    best = pairs.groupBy("size", "key").agg(F.min(F.struct("distance", "near")).alias("m"))
-    return best.select("size", "key", F.col("m.near").alias("near"), F.col("m.distance").alias("distance"))
+    Patterns have ``width`` bits.  Equal patterns are one: the first key stands for them, and later ones are at distance 0 from it.
+    Pigeonhole: of ``budget`` + ``agree`` bit ranges, patterns that differ in at most ``budget`` bits have ``agree`` alike, so
+    candidates come from equi-joins on choices of ``agree`` ranges and not from all pairs of a size.  More ranges that must
+    agree make more rows a pattern and fewer candidates a row: choose more for more symbols."""
+    rows = symbols.select(F.col(size).alias("size"), F.col(key).alias("key"), F.col(bits).alias("bits"))
+    unique = rows.groupBy("size", "bits").agg(F.min("key").alias("key"))
+    cuts = [i * width // (budget + agree) for i in range(budget + agree + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    picks = [sum(c) for c in combinations(masks, agree)]
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in picks]
+    choices = F.array(*[F.struct(F.lit(i).alias("part"), F.col("bits").bitwiseAND(F.lit(m)).alias("slice")) for i, m in enumerate(signed)])
+    a = unique.select("size", "key", "bits", F.explode(choices).alias("r"))
+    b = a.select("size", F.col("key").alias("near"), F.col("bits").alias("other"), "r")
+    pairs = a.join(b, ["size", "r"]).where(F.col("near") < F.col("key")).select("size", "key", "near", hamming(F.col("bits"), F.col("other")).alias("distance"))
+    best = pairs.where(F.col("distance") <= budget).groupBy("size", "key").agg(F.min(F.struct("distance", "near")).alias("m"))
+    found = best.select("size", "key", F.col("m.near").alias("near"), F.col("m.distance").alias("distance"))
+    again = rows.join(unique.withColumnRenamed("key", "near"), ["size", "bits"]).where("key <> near")
+    return found.unionByName(again.select("size", "key", "near", F.lit(0).alias("distance")))
 
 
 def unlike_size_nearest(symbols: DataFrame, most: int) -> DataFrame:

@@ -85,3 +85,10 @@ def differ(a: DataFrame, b: DataFrame, channels: list[str], tolerance: int) -> D
     each = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in channels]
     apart = F.greatest(*each) if len(each) > 1 else each[0]
     return both.groupBy("img").agg(F.count_if(F.coalesce(apart > tolerance, F.lit(True))).alias("mismatches"), F.count("*").alias("pixels"))
+
+
+def quality(runs: DataFrame, by: list[str], size: str, pixels: str, squares: Column) -> DataFrame:
+    """Of each corpus: pages, bytes, bits a pixel, ratio to 24-bit pixels, and peak signal-to-noise from sums of squared errors."""
+    total, n = F.sum(size), F.sum(pixels)
+    psnr = F.round(10 * F.log10(F.lit(65025.0) * n / F.sum(squares)), 4)
+    return runs.groupBy(*by).agg(F.count("*").alias("pages"), total.alias("bytes"), F.round(total * 8.0 / n, 6).alias("bpp"), F.round(n * 3.0 / total, 6).alias("ratio"), psnr.alias("psnr"))

@@ -18,6 +18,12 @@ def shared_symbols(components: DataFrame, signature: list[str], page: str, ordin
     return found.select(*signature, "pages", F.col(f"__f.{page}").alias("first_page"), F.col("__f.__o").alias("first_ordinal"))
 
 
+def distinct_symbols(components: DataFrame, signature: list[str], page: str, ordinal: str) -> DataFrame:
+    """The first place of each distinct symbol and how often it occurs: one partial aggregation on the content."""
+    found = components.groupBy(*signature).agg(F.min(F.struct(page, ordinal)).alias("__m"), F.count("*").alias("times"))
+    return found.select(*signature, F.col(f"__m.{page}").alias(page), F.col(f"__m.{ordinal}").alias(ordinal), "times")
+
+
 def within_budget(symbols: DataFrame, pages: str, pixels: str, budget: int) -> DataFrame:
     """Greedy choice by pages (most first), then pixels (least first): what does not fit is skipped.
 

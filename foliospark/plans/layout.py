@@ -60,8 +60,7 @@ def index_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotation_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounding boxes of polygons (an order's zones are its points) and their percent boxes."""
-    z = _zones(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
-    z = z.select("l_orderkey", G.polygon_box(F.col("xs"), F.col("ys")).alias("b"))
+    z = _zones(spark, sf_dir).groupBy("l_orderkey").agg(G.points_box(F.col("x"), F.col("y")).alias("b"))
     z = z.select("*", G.percent_box(F.col("b"), F.lit(3000), F.lit(4000)).alias("p"))
     return z.select("l_orderkey", *[F.col(f"b.{c}").alias(c) for c in "xywh"], F.col("p.left").alias("left_pct"), F.col("p.top").alias("top_pct"))
 
@@ -72,8 +71,8 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = table(spark, sf_dir, "customer")
     form = F.element_at(F.array(*map(F.lit, ["#", "#+", "#page", "#page_", "#page=", "http://x/#"])), (F.col("c_custkey") % 6 + 1).cast("int"))
-    links = c.select("c_custkey", F.concat(form, (F.col("c_nationkey") + 1).cast("string")).alias("url"))
-    pages = table(spark, sf_dir, "nation").where("n_nationkey < 20").select((F.col("n_nationkey") + 1).alias("page"), F.col("n_name").alias("target"))
+    links = c.select("c_custkey", F.concat(form, (F.col("c_custkey") % 30 + 1).cast("string")).alias("url"))
+    pages = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("page"), F.col("n_name").alias("target"))
     return links.withColumn("page", page_of_anchor(F.col("url"))).join(pages, "page", "left").select("c_custkey", "url", F.when(F.col("target").isNotNull(), F.col("page")).otherwise(0).cast("long").alias("page"), "target")
 
 
@@ -114,8 +113,8 @@ select p_partkey, ((i >> 1) & 1) * 16 + ((i >> 3) & 1) * 8 + ((i >> 5) & 1) * 4
 select l_orderkey, min(x) as x, min(y) as y, max(x) - min(x) as w, max(y) - min(y) as h, round(min(x) * 100.0::double / 3000, 4) as left_pct, round(min(y) * 100.0::double / 4000, 4) as top_pct
 from {_Z} group by l_orderkey""",
     "link_targets": r"""
-with l as (select c_custkey, (['#', '#+', '#page', '#page_', '#page=', 'http://x/#'])[c_custkey % 6 + 1] || (c_nationkey + 1) as url from customer),
+with l as (select c_custkey, (['#', '#+', '#page', '#page_', '#page=', 'http://x/#'])[c_custkey % 6 + 1] || (c_custkey % 30 + 1) as url from customer),
 r as (select *, try_cast(nullif(regexp_extract(url, '^#(?:\+|page[_=]?)?([0-9]+)$', 1), '') as bigint) as page from l)
 select c_custkey, url, case when n_name is not null then page else 0 end as page, n_name as target
-from r left join (select n_nationkey + 1 as p, n_name from nation where n_nationkey < 20) on p = page""",
+from r left join (select n_nationkey + 1 as p, n_name from nation) on p = page""",
 }

@@ -34,7 +34,9 @@ def mask_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def half_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _longs(P.half_mean(_pixels(spark, sf_dir).where("x < 15"), "g"))
+    """Rasters of 17 columns, so that a last column is odd: the first stands at the end again."""
+    px = _pixels(spark, sf_dir)
+    return _longs(P.half_mean(px.unionByName(px.where("x = 0").withColumn("x", F.lit(16))), "g"))
 
 
 def integral_image(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +64,10 @@ def compose_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_renders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second render that is 9 levels off in every fourth column, 2 in others; each has a column that the other lacks."""
     a = _pixels(spark, sf_dir)
-    b = a.withColumn("g", F.col("g") + F.when(F.col("x") % 4 == 0, 9).otherwise(2)).where("y < 3 or x > 1")
+    b = a.withColumn("g", F.col("g") + F.when(F.col("x") % 4 == 0, 9).otherwise(2))
+    a, b = (r.unionByName(r.where("x = 0").withColumn("x", F.lit(x))) for r, x in ((a, 16), (b, -1)))
     return _longs(P.differ(a, b, ["g"], 8))
 
 
@@ -76,7 +80,7 @@ ORACLE_SQL = {
     "block_mean": f"select img, x // 3 as bx, y // 3 as by, sum(g) filter (where g >= 128) // count(*) filter (where g >= 128) as mean from {_PX} group by all",
     "mask_pyramid": f"select img, x // 4 as bx, y // 4 as by, bool_or(g < 100) as ink from {_PX} group by all",
     "half_size": f"""
-with p as (select img, x, y, g, case when x = 14 then 2 else 1 end as n from {_PX} where x < 15)
+with p as (select img, x, y, g, 1 as n from {_PX} union all select img, 16, y, g, 2 from {_PX} where x = 0)
 select img, x // 2 as bx, y // 2 as by, cast((sum(g * n) + 2) // 4 as bigint) as mean from p group by all""",
     "integral_image": f"""
 with r as (select img, x, y, sum(g) over (partition by img, y order by x) as s from {_PX})
@@ -92,5 +96,5 @@ select distinct img, x + dx as x, y + dy as y from p, s where x + dx between 0 a
 select img, case img % 4 when 1 then {H - 1} - y when 2 then {W - 1} - x when 3 then y else x end as x,
   case img % 4 when 1 then x when 2 then {H - 1} - y when 3 then {W - 1} - x else y end as y, g from {_PX}""",
     "compose_layers": f"select img, x, y, case when g < 120 then case when g % 3 = 0 then x * 10 else 0 end else case when g % 5 <> 0 then g else 255 end end as out from {_PX}",
-    "diff_renders": f"select img, count(*) filter (where x % 4 = 0 or not (y < 3 or x > 1)) as mismatches, count(*) as pixels from {_PX} group by img",
+    "diff_renders": f"select img, count(*) filter (where x % 4 = 0) + 2 * count(*) filter (where x = 0) as mismatches, count(*) + 2 * count(*) filter (where x = 0) as pixels from {_PX} group by img",
 }

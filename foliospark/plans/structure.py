@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.operators import chunks as C
 from foliospark.operators import lookup as L
 from foliospark.operators import outline as O
+from foliospark.operators import pixels as P
 from foliospark.operators import symbols as S
 from foliospark.plans.common import table
 
@@ -37,22 +38,29 @@ def zone_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.class_counters(z, "l_orderkey", "l_returnflag", ["l_linenumber"]).withColumn("counter", F.col("counter").cast("long"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages that name a customer, and a page of each part that names a customer who may not be there."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), F.lit("  ")).alias("include"))
+    parts = table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("o_orderkey"), (F.col("p_partkey") * 7).cast("string").alias("include"))
+    return orders.unionByName(parts)
+
+
+def _dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"), F.col("c_name").alias("dictionary"))
+
+
 def dictionary_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as pages, customers with a positive balance as dictionaries; a miss is null."""
-    pages = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), F.lit("  ")).alias("include"))
-    dicts = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("name"), F.col("c_name").alias("dictionary"))
-    return L.with_dictionary(pages, dicts, "include", "name").select("o_orderkey", "dictionary")
+    """Pages with customers as dictionaries; a miss is null."""
+    return L.with_dictionary(_pages(spark, sf_dir), _dictionaries(spark, sf_dir), "include", "name").select("o_orderkey", "dictionary")
 
 
 def dictionary_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("include"))
-    dicts = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("name"), F.col("c_name").alias("dictionary"))
-    return L.with_dictionary(pages, dicts, "include", "name", strict=True).select("o_orderkey", "dictionary", "error")
+    return L.with_dictionary(_pages(spark, sf_dir), _dictionaries(spark, sf_dir), "include", "name", strict=True).select("o_orderkey", "dictionary", "error")
 
 
 def components_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line numbers 1 to 5 as a directory, line items as forms, joined by ordinal."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("ordinal"))
+    """Line numbers 1 to 9 as a directory (more than there are), line items as forms, joined by ordinal."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("ordinal"))
     forms = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ordinal")).agg(F.min("l_partkey").alias("part"))
     return L.by_ordinal(orders, forms, ["doc", "ordinal"]).withColumn("part", F.coalesce("part", F.lit(-1)))
 
@@ -82,13 +90,13 @@ def repeat_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First place of each distinct line: one partial aggregation on the content."""
-    return _lines(spark, sf_dir).groupBy("line").agg(F.min(F.struct("page", "cc")).alias("m"), F.count("*").alias("times")).select(F.md5("line").alias("signature"), F.col("m.page").alias("page"), F.col("m.cc").alias("cc"), "times")
+    found = S.distinct_symbols(_lines(spark, sf_dir), ["line"], "page", "cc")
+    return found.select(F.md5("line").alias("signature"), "page", "cc", "times")
 
 
 def nearest_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_custkey") * 2654435761 % 281474976710656).alias("bits"))
-    return L.nearest_symbol(o, "o_orderpriority", "bits", "o_orderkey", 6).withColumn("distance", F.col("distance").cast("long"))
+    return L.nearest_symbol(o, "o_orderpriority", "bits", "o_orderkey", 6, width=48).withColumn("distance", F.col("distance").cast("long"))
 
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,17 +110,21 @@ def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.middle_of_three(e, "user_id", ["ts", "event_id"], "value").select("event_id", "baseline")
 
 
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("target"), F.col("lang").alias("document"), "doc_id")
+    return C.merge_renumber(d, "target", "document", "doc_id")
+
+
 def merge_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source merged into one file, a language being an input file."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("target"), F.col("lang").alias("document"), "doc_id")
-    return C.merge_renumber(d, "document", "doc_id").select("doc_id", F.col("page_index").cast("long").alias("page_index"), "component_id")
+    return _merged(spark, sf_dir).select("doc_id", F.col("page_index").cast("long").alias("page_index"), "component_id")
 
 
 def split_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages 3 to 7 of each merged file, by a page range in text form."""
-    pages = merge_renumber(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    """Pages 3 to 7 of each merged file, by a page range in text form (the range is the feature)."""
     r = C.page_range(F.lit("3-7"))
-    return pages.where((F.col("page_index") >= r["start"]) & (F.col("page_index") < r["end"])).select("source", "doc_id", (F.col("page_index") - r["start"]).cast("long").alias("new_index"))
+    pages = _merged(spark, sf_dir).where((F.col("page_index") >= r["start"]) & (F.col("page_index") < r["end"]))
+    return pages.select(F.col("target").alias("source"), "doc_id", (F.col("page_index") - r["start"]).cast("long").alias("new_index"))
 
 
 def directory_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,31 +148,37 @@ def replace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def palette_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as pixels, parts as blits, brands as colours; some misses."""
-    px = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").alias("blit"))
-    blits = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("blit"), F.col("p_brand").alias("color_index"))
-    colors = table(spark, sf_dir, "part").select(F.col("p_brand").alias("color_index")).distinct().where("color_index not like '%1'").withColumn("color", F.concat(F.lit("c:"), "color_index"))
-    return L.palette_color(px, blits, colors, "c:first").select("l_orderkey", "l_linenumber", "l_partkey", "color")
+    """Line items as pixels, parts as blits, sizes up to 40 as colours; pixels of the outside have no blit, and large parts no colour."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").alias("blit"))
+    outside = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_orderkey"), F.lit(0).cast("int").alias("l_linenumber"), (-F.col("s_suppkey")).alias("l_partkey"), (-F.col("s_suppkey")).alias("blit"))
+    blits = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("blit"), F.col("p_size").alias("color_index"))
+    colors = spark.range(1, 41).select(F.col("id").cast("int").alias("color_index"), F.concat(F.lit("c:"), "id").alias("color"))
+    return L.palette_color(li.unionByName(outside), blits, colors, "c:first").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "color")
 
 
 def page_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a document as JSON in order, with their number."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "lang")
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", "n_chars")))
-    return d.groupBy("source").agg(F.count("*").alias("pages"), F.to_json(rows).alias("listing"), F.count_if(F.col("lang") == "en").alias("refinements"))
+    """Conversations as documents, turns as pages: number of pages and their listing as JSON."""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("int").alias("page_index"), F.length(F.coalesce("text", F.lit(""))).alias("width"), F.lit(100).alias("height"), F.lit(300).alias("dpi"), "role")
+    return C.page_listing(pages.select("path", "page_index", "width", "height", "dpi"))
 
 
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, ratios and peak signal-to-noise by group."""
+    """Line items as encoded pages: bytes, bits a pixel, ratio and peak signal-to-noise by corpus."""
     li = table(spark, sf_dir, "lineitem")
-    err = F.col("l_discount") * 100 - F.col("l_tax") * 100
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("bytes"), F.round(F.sum("l_quantity") / F.sum("l_linenumber"), 6).alias("ratio"), F.round(10 * F.log10(65025 / F.avg(err * err)), 4).alias("psnr"), F.min("l_extendedprice").alias("least"))
+    runs = li.select(F.concat("l_returnflag", "l_linestatus").alias("corpus"), F.col("l_quantity").cast("long").alias("bytes"), (F.col("l_linenumber") * 100).cast("long").alias("pixels"), F.round((F.col("l_discount") - F.col("l_tax")) * 100).cast("long").alias("apart"))
+    return P.quality(runs, ["corpus"], "bytes", "pixels", F.col("apart") * F.col("apart") * F.col("pixels"))
 
 
-QUERIES = {f.__name__: f for f in (outline_counts, outline_links, leaf_zones, zone_ids, dictionary_left, dictionary_strict, components_zip, first_chunks, chunk_ids, shared_symbols, repeat_stats, symbol_dedup, nearest_symbol, reading_order, baselines, merge_renumber, split_range, directory_offsets, upsert_chunks, replace_chunks, palette_lookup, page_listing, quality_metrics)}
+_ALL = (
+    outline_counts, outline_links, leaf_zones, zone_ids, dictionary_left, dictionary_strict, components_zip, first_chunks, chunk_ids, shared_symbols,
+    repeat_stats, symbol_dedup, nearest_symbol, reading_order, baselines, merge_renumber, split_range, directory_offsets, upsert_chunks,
+    replace_chunks, palette_lookup, page_listing, quality_metrics,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _TREE = """(select 'r' || r_regionkey as node_id, cast(null as varchar) as parent_id, cast(r_regionkey as bigint) as sibling_ord from region
  union all select 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey from nation union all select 'c' || c_custkey, 'n' || c_nationkey, c_custkey from customer)"""
+_PAGES = "(select o_orderkey as key, o_custkey as custkey from orders union all select -p_partkey, p_partkey * 7 from part)"
 _LINES_SQL = "(select page, i - 1 as cc, lines[i] as line, length(lines[i]) as pixels from (select doc_id as page, string_split(text, chr(10)) as lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents))"
 _MERGED = "(select source, doc_id, row_number() over (partition by source order by lang, doc_id) - 1 as page_index, dense_rank() over (partition by source order by lang) - 1 as d from documents)"
 ORACLE_SQL = {
@@ -171,11 +189,11 @@ select t.node_id, count(a.node_id) as descendants from t left join anc a on a.ab
     "outline_links": f"select node_id, parent_id, lag(node_id) over w as prev_id, lead(node_id) over w as next_id from {_TREE} window w as (partition by parent_id order by sibling_ord, node_id)",
     "leaf_zones": f"select node_id, parent_id from {_TREE} t where node_id not in (select parent_id from {_TREE} where parent_id is not null)",
     "zone_ids": "select l_orderkey, l_returnflag, l_linenumber, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber) - 1 as counter from lineitem",
-    "dictionary_left": "select o_orderkey, c_name as dictionary from orders left join (select * from customer where c_acctbal > 0) on o_custkey = c_custkey",
-    "dictionary_strict": "select o_orderkey, c_name as dictionary, case when c_custkey is null then 'missing component ' || o_custkey end as error from orders left join (select * from customer where c_acctbal > 0) on o_custkey = c_custkey",
+    "dictionary_left": f"select key as o_orderkey, c_name as dictionary from {_PAGES} left join customer on custkey = c_custkey",
+    "dictionary_strict": f"select key as o_orderkey, c_name as dictionary, case when c_custkey is null then 'missing component ' || custkey end as error from {_PAGES} left join customer on custkey = c_custkey",
     "components_zip": """
 select o.doc, o.ordinal, coalesce(f.part, -1) as part, case when f.part is null then 'malformed' end as error
-from (select o_orderkey as doc, unnest(range(1, 6)) as ordinal from orders) o left join
+from (select o_orderkey as doc, unnest(range(1, 10)) as ordinal from orders) o left join
   (select l_orderkey as doc, l_linenumber as ordinal, min(l_partkey) as part from lineitem group by all) f on o.doc = f.doc and o.ordinal = f.ordinal""",
     "first_chunks": "select l_orderkey, l_returnflag, arg_min(l_partkey, row(l_linenumber, l_partkey, l_suppkey)) as first from lineitem group by l_orderkey, l_returnflag",
     "chunk_ids": "select l_orderkey, string_agg(l_returnflag, ',' order by l_linenumber, l_partkey, l_suppkey) as ids from lineitem group by l_orderkey",
@@ -210,12 +228,14 @@ select d.source, d.doc_id as id, d.doc_id as ordinal, coalesce(k.lang, d.lang) a
 union all select f.source, f.id, m + row_number() over (partition by f.source order by f.id), 'added' from f join last using (source)""",
     "replace_chunks": "select s_suppkey, case when s_acctbal < 0 then 'x' || s_name else s_name end as s_name from supplier",
     "palette_lookup": """
-select l_orderkey, l_linenumber, l_partkey, coalesce('c:' || c.p_brand, 'c:first') as color from lineitem
-left join (select p_partkey, p_brand from part where p_size > 5) b on l_partkey = b.p_partkey left join (select distinct p_brand from part where p_brand not like '%1') c on b.p_brand = c.p_brand""",
+with px as (select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, l_partkey from lineitem union all select s_suppkey, 0, -s_suppkey from supplier)
+select px.*, case when p_size <= 40 then 'c:' || p_size else 'c:first' end as color from px left join part on l_partkey = p_partkey""",
     "page_listing": """
-select source, count(*) as pages, '[' || string_agg('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}', ',' order by doc_id, n_chars) || ']' as listing,
-  count(*) filter (where lang = 'en') as refinements from documents group by source""",
+select cast(conv_id as varchar) as path, count(*) as pages,
+  '[' || string_agg('{"page":' || (turn + 1) || ',"width":' || length(coalesce(text, '')) || ',"height":100,"dpi":300}', ',' order by turn, length(coalesce(text, ''))) || ']' as listing
+from conversations where conv_id is not null group by conv_id""",
     "quality_metrics": """
-select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as bytes, round(sum(l_quantity) / sum(l_linenumber), 6) as ratio,
-  round(10 * log10(65025 / avg((l_discount * 100 - l_tax * 100) * (l_discount * 100 - l_tax * 100))), 4) as psnr, min(l_extendedprice) as least from lineitem group by l_returnflag, l_linestatus""",
+with r as (select l_returnflag || l_linestatus as corpus, cast(l_quantity as bigint) as bytes, l_linenumber * 100 as pixels, cast(round((l_discount - l_tax) * 100) as bigint) as e from lineitem)
+select corpus, count(*) as pages, cast(sum(bytes) as bigint) as bytes, round(sum(bytes) * 8.0::double / sum(pixels), 6) as bpp, round(sum(pixels) * 3.0::double / sum(bytes), 6) as ratio,
+  round(10 * log10(65025.0::double * sum(pixels) / sum(e * e * pixels)), 4) as psnr from r group by corpus""",
 }

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliospark.functions import text as T
+from foliospark.operators.recognition import greedy_decode
 from foliospark.plans.common import table
+from foliospark.sinks import markup
 
 _LINES = r"""list_filter(list_transform(string_split(p, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
 
@@ -45,9 +50,11 @@ def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and a blank one and one without text beside each."""
     docs = table(spark, sf_dir, "documents")
-    odd = F.when(F.col("doc_id") % 7 == 0, F.lit(" \t ")).otherwise(F.col("text"))
-    return docs.select("doc_id", T.blank_to(odd, "No text layer").alias("shown"))
+    each = F.array(F.struct(F.lit(0).alias("i"), F.col("text").alias("t")), F.struct(F.lit(1).alias("i"), F.lit(" \t ").alias("t")), F.struct(F.lit(2).alias("i"), F.lit(None).cast("string").alias("t")))
+    rows = docs.select("doc_id", F.explode(each).alias("e"))
+    return rows.select("doc_id", F.col("e.i").cast("long").alias("variant"), T.blank_to(F.col("e.t"), "No text layer").alias("shown"))
 
 
 def text_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,41 +63,65 @@ def text_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    ascii_text = F.regexp_replace("text", "[^\\x00-\\x7F]", "?")
-    return docs.select("doc_id", T.byte_slice(ascii_text, F.lit(10), F.lit(40)).alias("slice"))
+    """Bytes 10 to 50 of every text, whole characters; starts also at 11 to 13, so that some fall within a character."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), F.explode(F.sequence(F.lit(10), F.lit(13))).alias("start"))
+    return docs.select("doc_id", F.col("start").cast("long").alias("start"), T.byte_slice("text", F.col("start"), F.lit(40)).alias("slice"))
+
+
+def _marked_up(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Conversations as pages of 1000 x 1400: a line with one word a turn, as the markup writers put them."""
+    word = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(word)).alias("turns"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = {"hocr": markup.hocr_page, "alto": markup.alto_page, "json": lambda z, p, i: markup.zones_json(z, p)}[name]
+        page = {"width": 1000, "height": 1400, "dpi": 300}
+        for batch in batches:
+            out = []
+            for i, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                zones = [{"zone_id": 0, "parent_id": None, "kind": "page", "x": 0, "y": 0, "w": 1000, "h": 1400, "text": ""}]
+                for n, t in enumerate(turns):
+                    box = {"x": 5, "y": 10 * n, "w": 990, "h": 9}
+                    zones.append({"zone_id": 2 * n + 1, "parent_id": 0, "kind": "line", "text": t["text"], **box})
+                    zones.append({"zone_id": 2 * n + 2, "parent_id": 2 * n + 1, "kind": "word", "text": t["text"], **box})
+                out.append(write(zones, page, i))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["conv_id", name])
+
+    return turns.mapInArrow(run, f"conv_id long, {name} string")
 
 
 def hocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a page in order, as elements with their number."""
-    turns = table(spark, sf_dir, "conversations")
-    line = F.format_string('<span class="ocr_line" id="line_%d_%d">%s</span>', F.col("conv_id"), F.col("turn"), T.escape_html("text"))
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("line"))))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("hocr"))
+    return _marked_up(spark, sf_dir, "hocr")
+
+
+def alto_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked_up(spark, sf_dir, "alto")
+
+
+def zone_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked_up(spark, sf_dir, "json")
 
 
 def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best symbols over time without repeats and blanks: time is ts, the blank is the first type."""
-    events = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    kept = events.withColumn("before", F.lag("event_type").over(w)).where(~F.col("before").eqNullSafe(F.col("event_type")) & (F.col("event_type") != "click"))
-    parts = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return kept.groupBy("user_id").agg(F.array_join(F.transform(parts, lambda x: x["event_type"]), "|").alias("decoded"))
+    """Users' events in order as the best symbols of a recogniser, clicks as blanks, decoded by the greedy decoder."""
+    kinds = ["click", "error", "purchase", "scroll", "signup", "view"]
+    events = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")).alias("symbol")).alias("e"))
+    users = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["symbol"]).alias("symbols"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [greedy_decode(np.eye(len(kinds) + 1)[np.array(s) - 1], "abcdef") for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["user_id", "decoded"])
 
-def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key-value pairs to fixed fields: keys in any case, aliases, the last value wins; others stay in order."""
-    nation = table(spark, sf_dir, "nation")
-    keys = F.array(*map(F.lit, ["Title", "DESCRIPTION", "date", "Keyword", "subject"]))
-    kv = nation.select("n_regionkey", F.col("n_nationkey").alias("ord"), F.lower(F.element_at(keys, F.col("n_nationkey") % 5 + 1)).alias("key"), F.col("n_name").alias("value"))
-    alias = F.when(F.col("key") == "description", "subject").when(F.col("key") == "date", "year").when(F.col("key") == "keyword", "keywords").otherwise(F.col("key"))
-    kv = kv.withColumn("field", alias)
-    return kv.groupBy("n_regionkey").agg(*[F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("ord"))).alias(f) for f in ("title", "subject", "year", "keywords")])
+    return users.mapInArrow(run, "user_id long, decoded string")
 
 
-QUERIES = {f.__name__: f for f in (reflow_paragraphs, reflow_hyphens, escapes, page_text, text_widths, byte_slices, hocr_lines, ctc_decode, metadata_fields)}
+QUERIES = {f.__name__: f for f in (reflow_paragraphs, reflow_hyphens, escapes, page_text, text_widths, byte_slices, hocr_lines, alto_lines, zone_json, ctc_decode)}
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+_TURNS = """t as (select conv_id, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) - 1 as n
+  from conversations where conv_id is not null)"""
 ORACLE_SQL = {
     "reflow_paragraphs": _reflow_sql("text"),
     "reflow_hyphens": _reflow_sql("replace(replace(text, 'th', 't-' || chr(10) || 'h'), '. ', '.' || chr(29) || ' ')"),
@@ -101,25 +132,35 @@ select page_id,
   regexp_replace(replace(replace(replace(html, '\', '\\'), '(', '\('), ')', '\)'), '[^\x00-\x7F]', '?', 'g') as as_pdf,
   regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '^\s+|\s+$', '', 'g') as inner_text
 from pages""",
-    "page_text": r"select doc_id, case when regexp_replace(t, '^\s+|\s+$', '', 'g') = '' then 'No text layer' else t end as shown from (select doc_id, case when doc_id % 7 = 0 then ' ' || chr(9) || ' ' else text end as t from documents)",
+    "page_text": rf"""
+select doc_id, variant, case when t is null or {_TRIM.format('t')} = '' then 'No text layer' else t end as shown from (
+  select doc_id, 0 as variant, text as t from documents union all select doc_id, 1, ' ' || chr(9) || ' ' from documents union all select doc_id, 2, null from documents)""",
     "text_widths": r"""
 select conv_id, turn, length(text) as chars, cast(list_sum(list_transform(string_split(text, ''), lambda c: case
   when ascii(c) < 32 or ascii(c) = 127 then 0 when c in (' ', ',', '.', ':', ';', '!', '?') then 278 when c in ('''', '"') then 222
   when c in ('(', ')', '[', ']', '{', '}', '-', '–', '—') then 333 when c between 'A' and 'Z' then 667 else 556 end)) as bigint) as milli_em
 from conversations""",
-    "byte_slices": r"select doc_id, substring(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), 11, 40) as slice from documents",
-    "hocr_lines": """
-select conv_id, string_agg('<span class="ocr_line" id="line_' || conv_id || '_' || turn || '">' ||
-  replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') || '</span>', chr(10) order by turn, role) as hocr
-from conversations group by conv_id""",
+    "byte_slices": """
+with c as (select doc_id, string_split(text, '') as cs from documents where text is not null),
+e as (select doc_id, unnest(cs) as ch, unnest(range(1, len(cs) + 1)) as i from c),
+p as (select *, sum(strlen(ch)) over (partition by doc_id order by i) as last from e),
+s as (select unnest(range(10, 14)) as start)
+select d.doc_id, s.start, case when d.text is not null then coalesce((select string_agg(ch, '' order by i) from p where p.doc_id = d.doc_id and last > s.start and last - strlen(ch) < s.start + 40), '') end as slice
+from documents d, s""",
+    "hocr_lines": f"""
+with {_TURNS} select conv_id, '  <div class="ocr_page" id="page_' || conv_id || '" title="image page_' || conv_id || '.djvu; bbox 0 0 1000 1400; ppageno ' || conv_id || '">' || chr(10) ||
+  string_agg('   <span class="ocr_line" id="line_' || conv_id || '_' || n || '" title="bbox 5 ' || 10 * n || ' 995 ' || (10 * n + 9) || '">' || chr(10) ||
+    '     <span class="ocrx_word" id="word_' || conv_id || '_' || n || '" title="bbox 5 ' || 10 * n || ' 995 ' || (10 * n + 9) || '">' || {_ESCAPED} || '</span>' || chr(10) || '   </span>', chr(10) order by n)
+  || chr(10) || '  </div>' as hocr from t group by conv_id""",
+    "alto_lines": f"""
+with {_TURNS} select conv_id, '    <Page ID="page_' || conv_id || '" WIDTH="1000" HEIGHT="1400" PHYSICAL_IMG_NR="' || conv_id || '">' || chr(10) || '      <PrintSpace WIDTH="1000" HEIGHT="1400" HPOS="0" VPOS="0">' || chr(10) ||
+  string_agg('        <TextLine ID="line_' || conv_id || '_' || n || '" HPOS="5" VPOS="' || 10 * n || '" WIDTH="990" HEIGHT="9">' || chr(10) ||
+    '          <String ID="word_' || conv_id || '_' || n || '" HPOS="5" VPOS="' || 10 * n || '" WIDTH="990" HEIGHT="9" CONTENT="' || replace({_ESCAPED}, '&#39;', '&apos;') || '"/>' || chr(10) || '        </TextLine>', chr(10) order by n)
+  || chr(10) || '      </PrintSpace>' || chr(10) || '    </Page>' as alto from t group by conv_id""",
+    "zone_json": rf"""
+with {_TURNS} select conv_id, '[' || coalesce(string_agg('{{"t":' || cast(to_json(text) as varchar) || ',"x":5,"y":' || 10 * n || ',"w":990,"h":9}}', ',' order by n) filter (where {_TRIM.format('text')} <> ''), '') || ']' as json from t group by conv_id""",
     "ctc_decode": """
-select user_id, string_agg(event_type, '|' order by ts, event_id) as decoded from (
-  select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events)
-where before is distinct from event_type and event_type <> 'click' group by user_id""",
-    "metadata_fields": """
-with kv as (select n_regionkey, n_nationkey as ord, n_name as value,
-  case lower((['Title', 'DESCRIPTION', 'date', 'Keyword', 'subject'])[n_nationkey % 5 + 1]) when 'description' then 'subject' when 'date' then 'year' when 'keyword' then 'keywords' else lower((['Title', 'DESCRIPTION', 'date', 'Keyword', 'subject'])[n_nationkey % 5 + 1]) end as field from nation)
-select n_regionkey, arg_max(value, ord) filter (where field = 'title') as title, arg_max(value, ord) filter (where field = 'subject') as subject,
-  arg_max(value, ord) filter (where field = 'year') as year, arg_max(value, ord) filter (where field = 'keywords') as keywords
-from kv group by n_regionkey""",
+with e as (select user_id, ts, event_id, list_position(['click', 'error', 'purchase', 'scroll', 'signup', 'view'], event_type) as s from events),
+b as (select *, lag(s) over (partition by user_id order by ts, event_id) as before from e)
+select user_id, coalesce(string_agg(chr(95 + cast(s as int)), '' order by ts, event_id) filter (where s > 1 and before is distinct from s), '') as decoded from b group by user_id""",
 }

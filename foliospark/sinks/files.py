@@ -15,6 +15,7 @@ from datetime import UTC, datetime
 import numpy as np
 
 from foliospark.codecs.raster import area_mean, write_png
+from foliospark.functions.text import char_width
 from foliospark.sinks.markup import _XML, _escape
 
 
@@ -29,21 +30,6 @@ def pdf_string(s: str) -> str:
     return "".join("\\" + c if c in "()\\" else c if ord(c) < 128 else "?" for c in s)
 
 
-def _advance(c: str) -> float:
-    o = ord(c)
-    if o < 32 or o == 127:
-        return 0.0
-    if c in " ,.:;!?":
-        return 0.278
-    if c in "'\"":
-        return 0.222
-    if c in "()[]{}-–—":
-        return 0.333
-    if "A" <= c <= "Z":
-        return 0.667
-    return 1.0 if 0x1100 <= o <= 0x11FF or 0x2E80 <= o <= 0xD7AF or 0xF900 <= o <= 0xFAFF or 0xFE10 <= o <= 0xFE4F or 0xFF00 <= o <= 0xFFEF or 0x1B000 <= o else 0.556
-
-
 def text_operators(zones: list[dict], dpi: int, height_pt: float) -> str:
     """Invisible text at the places of words and characters, stretched to their width."""
     pt = lambda v: v * 72.0 / dpi
@@ -52,7 +38,7 @@ def text_operators(zones: list[dict], dpi: int, height_pt: float) -> str:
         w, h = pt(z["w"]), pt(z["h"])
         if z["kind"] not in ("word", "character") or not z["text"] or w <= 0 or h < 0.5:
             continue
-        stretch = 100 * w / max(0.01, sum(map(_advance, z["text"])) * h)
+        stretch = 100 * w / max(0.01, sum(map(char_width, z["text"])) / 1000 * h)
         out.append(f"{h:.2f} 0 0 {h:.2f} {pt(z['x']):.4f} {height_pt - pt(z['y'] + z['h']):.4f} Tm")
         if abs(stretch - 100) > 1:
             out.append(f"{stretch:.2f} Tz")
