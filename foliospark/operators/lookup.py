@@ -49,11 +49,15 @@ def nearest_symbol(symbols: DataFrame, size: str, bits: str, key: str, budget: i
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
     picks = [sum(c) for c in combinations(masks, agree)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in picks]
-    choices = F.array(*[F.struct(F.lit(i).alias("part"), F.col("bits").bitwiseAND(F.lit(m)).alias("slice")) for i, m in enumerate(signed)])
-    a = unique.select("size", "key", "bits", F.explode(choices).alias("r"))
-    b = a.select("size", F.col("key").alias("near"), F.col("bits").alias("other"), "r")
-    pairs = a.join(b, ["size", "r"]).where(F.col("near") < F.col("key")).select("size", "key", "near", hamming(F.col("bits"), F.col("other")).alias("distance"))
-    best = pairs.where(F.col("distance") <= budget).groupBy("size", "key").agg(F.min(F.struct("distance", "near")).alias("m"))
+    choices = F.array(*[F.xxhash64("size", F.lit(i), F.col("bits").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    # Few bytes make many pairs: without a number of partitions adaptive execution would join them in one task.
+    parts = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = unique.select("size", "key", "bits", F.explode(choices).alias("r")).repartition(parts, "r")
+    b = a.select(F.col("size").alias("near_size"), F.col("key").alias("near"), F.col("bits").alias("other"), "r")
+    distance = hamming(F.col("bits"), F.col("other"))
+    pairs = a.join(b, "r").where((F.col("near") < F.col("key")) & (distance <= budget) & F.col("size").eqNullSafe(F.col("near_size")))
+    pairs = pairs.select("size", "key", "near", distance.alias("distance"))
+    best = pairs.groupBy("size", "key").agg(F.min(F.struct("distance", "near")).alias("m"))
     found = best.select("size", "key", F.col("m.near").alias("near"), F.col("m.distance").alias("distance"))
     again = rows.join(unique.withColumnRenamed("key", "near"), ["size", "bits"]).where("key <> near")
     return found.unionByName(again.select("size", "key", "near", F.lit(0).alias("distance")))
