@@ -6,8 +6,8 @@ node of the tree the sum against its largest counts, so nodes and points that ca
 threshold are passed over and only the others' sets are compared.
 
 Trees stand in buckets that cannot miss a pair.  In any one order of all shingles, two sets that link share one of
-their first n - ceil(n * percent / 100) + 1; those are a document's marks, and a bucket holds documents
-of one mark.  The order puts shingles that are frequent in a sample last, then goes by hash: the sample
+their first n - ceil(n * percent / 100) + 1; those, each with the class of the set's size, are a document's marks, and a bucket
+holds documents of one mark.  The order puts shingles that are frequent in a sample last, then goes by hash: the sample
 makes buckets small, while no pair depends on it.  Equal sets are one point.
 
 Buckets are compared in rounds.  At first a document goes to one of its marks only, which joins most copies;
@@ -36,7 +36,7 @@ WORDS, PERCENT, BLOCK, LEAF, FAN, BROADCAST_ROWS = 3, 90, 1024, 16, 8, 1_000_000
 #: Shingles of the documents in a block, about.
 BLOCK_SHINGLES = 2_000_000
 #: Documents of the sample (at least so many, or this share of all), and shingles that count as frequent.
-SAMPLE, SAMPLE_SHARE, FREQUENT = 20_000, 0.001, 1 << 18
+SAMPLE, SAMPLE_SHARE, FREQUENT = 50_000, 0.001, 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -180,10 +180,18 @@ class CountTree:
 
 
 def may_link(n: np.ndarray, bodies: list[bytes], labels: np.ndarray, percent: int) -> np.ndarray:
-    """Which points have a partner of another component that the bounds do not rule out.
+    """A group for each point: points of other components that the bounds do not rule out are in its group; -1 if there are none.
+
+    Points of about the same size have the same groups of shingles; those of more are folded beside those of fewer."""
+    out = np.arange(len(n))
+    some = np.zeros(len(n), bool)
+
+    def join(at: np.ndarray) -> None:
+        some[at] = True
+        own = np.unique(out[at])
+        if len(own) > 1:
+            out[np.isin(out, own)] = own[0]
 
-    Points of about the same size have the same groups; those of more are folded beside those of fewer."""
-    out = np.zeros(len(n), bool)
     points = [unpacked(b, int(m)) for b, m in zip(bodies, n, strict=True)]
     wide = np.array([len(p) for p in points])
     for groups in np.unique(wide).tolist():
@@ -195,15 +203,15 @@ def may_link(n: np.ndarray, bodies: list[bytes], labels: np.ndarray, percent: in
         if len(at) <= 4 * LEAF:
             bound = np.minimum(own[:, None], own[None]).sum(axis=2)
             ok = (bound >= needed(percent, n[at][:, None], n[at][None])) & (labels[at][:, None] != labels[at][None])
-            out[at[ok.any(axis=1)]] = True
+            for i in np.flatnonzero(ok.any(axis=1)).tolist():
+                join(np.append(at[ok[i]], at[i]))
             continue
         tree = CountTree(own, n[at], percent, labels[at])
         for q in range(1, len(at)):
             found, _ = tree.before(q)
             if len(found):
-                out[at[tree.order[q]]] = True
-                out[at[tree.order[found]]] = True
-    return out
+                join(at[tree.order[np.append(found, q)]])
+    return np.where(some, out, -1)
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -294,12 +302,15 @@ class Join:
         words, percent = self.words, self.percent
 
         def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for task, rows in tasks_of(batches):
+            for _, rows in tasks_of(batches):
                 ids, labels, n, bodies = zip(*rows, strict=True)
-                at = np.flatnonzero(may_link(np.array(n), list(bodies), np.array(labels), percent))
-                if len(at):
-                    cols = (np.full(len(at), task), np.array(ids)[at], np.array(labels)[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["task", "id", "label"])
+                group = may_link(np.array(n), list(bodies), np.array(labels), percent)
+                ids, labels = np.array(ids), np.array(labels)
+                for g in np.unique(group[group >= 0]).tolist():
+                    at = np.flatnonzero(group == g)
+                    # Named by its documents, so that a group that several marks bring is compared once.
+                    task = xxhash.xxh3_64_intdigest(np.sort(ids[at]).tobytes()) - (1 << 63)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.full(len(at), task), ids[at], labels[at])], names=["task", "id", "label"])
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -323,6 +334,12 @@ class Join:
         held = self.docs.join(small(near, self.broadcast_rows), ["k", "f"]).select("task", "id", "label", "text").mapInArrow(per_task(sets), "task long, id long, label long, own binary")
         return by_task(held).mapInArrow(per_task(link), "a long, b long")
 
+    def _sizes(self):
+        """Two classes of sizes for each n, so that sets whose sizes let them link have one in common."""
+        # A class is as wide as sizes of linked sets may differ; the margin is for what logarithms are off.
+        own = F.floor(F.log(F.col("n")) / (math.log(100 / self.percent) + 1e-9) + 1e-9)
+        return F.array(own, own + 1)
+
     def _blocks(self):
         return F.greatest(F.ceil(F.col("c") / self.block), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
@@ -349,7 +366,10 @@ class Join:
         reps = self.rows.join(self.equal, same)
         marks = reps.select("id", "n", F.explode("marks").alias("mark"))
         twice = materialize(marks.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"))
-        shared = materialize(marks.join(small(twice, self.broadcast_rows), "mark").select("id", "n", "mark", F.col("id").alias("label")))
+        shared = marks.join(small(twice, self.broadcast_rows), "mark").select("id", "n", F.explode(F.transform(self._sizes(), lambda c: F.xxhash64("mark", c))).alias("mark"))
+        shared = materialize(shared)
+        twice = materialize(shared.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"))
+        shared = materialize(shared.join(small(twice, self.broadcast_rows), "mark").select("id", "n", "mark", F.col("id").alias("label")))
         points = reps.select("id", "n", "point").join(shared.select("id").distinct(), "id", "left_semi")
         points = materialize(points)
         links = found = None
