@@ -10,6 +10,7 @@ import sys
 from pathlib import Path
 
 from foliospark.codecs import bzz, container, iff, layers, raster
+from foliospark.operators import recognition
 from foliospark.sinks import files, markup
 
 
@@ -37,7 +38,8 @@ def _page_dicts(doc: container.Document, dpi: int | None, rotation: str) -> list
     for p in doc.pages:
         size = [max(1, round(p.info[k] * dpi / (p.info["dpi"] or dpi))) for k in ("width", "height")] if dpi else [None, None]
         mask = raster.page_mask(p)
-        out.append({**p.info, "rgb": raster.render(p, *size, rotation=rotation, permissive=True), "zones": _layer(p)[1], "mask": mask[0] if mask else None})
+        plain = rotation == p.info["rotation"] == "none" and raster.is_bilevel(p)
+        out.append({**p.info, "bilevel": plain, "rgb": raster.render(p, *size, rotation=rotation, permissive=True), "zones": _layer(p)[1], "mask": mask[0] if mask else None})
     return out
 
 
@@ -57,6 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     command("render", file, out, (("--page",), {"type": int, "default": 1}), (("--dpi",), {"type": int}), (("--rotate",), {"default": "none", "choices": list(raster.STEPS)}), (("--format",), {"choices": ["png", "pdf", "epub", "tiff", "cbz"], "default": "png"}), (("--layer",), {"choices": ["mask", "foreground", "background"]}))
     command("merge", (("files",), {"nargs": "+"}), out)
     command("split", file, out, (("--pages",), {"required": True}))
+    command("ocr", file, out, (("--backend",), {"default": "tesseract"}), (("--lang",), {"default": "eng"}), (("--dpi",), {"type": int, "default": 300}))
     command("bzz-encode", file, out)
     command("bzz-decode", file, out)
     command("encode", file, out, (("--quality",), {"choices": ["lossless", "quality", "archival"], "default": "lossless"}), (("--dpi",), {"type": int, "default": 300}))
@@ -71,6 +74,8 @@ def main(argv: list[str] | None = None) -> int:
 def _run(a: argparse.Namespace) -> int:
     if a.command in ("bzz-encode", "bzz-decode"):
         _put(a.output, (bzz.encode if a.command == "bzz-encode" else bzz.decode)(Path(a.file).read_bytes()))
+    elif a.command == "ocr":
+        _put(a.output, recognition.recognize_document(Path(a.file).read_bytes(), recognition.backend(a.backend), a.lang, a.dpi))
     elif a.command == "merge":
         _put(a.output, container.merge([Path(f).read_bytes() for f in a.files]))
     elif a.command == "split":

@@ -46,6 +46,36 @@ def wavelet_layer(chunks: list[bytes], sub: int = 1, permissive: bool = False) -
     return image.rgb(sub)
 
 
+def thumbnail(page: Page) -> np.ndarray | None:
+    """The small image that a page carries, or None."""
+    return wavelet_layer(page.all("TH44"))
+
+
+#: Layers in a photographic format that no kernel here reads.
+UNREAD = ("BGjp", "FGjp")
+
+
+def unread_layers(page: Page) -> list[str]:
+    return [c for c in UNREAD if page.first(c) is not None and page.first(c.replace("jp", "44")) is None]
+
+
+def is_bilevel(page: Page) -> bool:
+    """Whether a page is a mask in black and nothing else."""
+    return any(page.first(c) is not None for c in ("Sjbz", "Smmr")) and not any(page.first(c) is not None for c in ("BG44", "FG44", "FGbz", *UNREAD))
+
+
+def renders_in_strips(page: Page, width: int, height: int, aa: bool = False, resampling: str = "bilinear", rotation: str = "none") -> bool:
+    """Whether rows of the output come from the layers without the whole output at hand."""
+    plain = resampling == "bilinear" or (page.info["width"], page.info["height"]) == (width, height)
+    return plain and not aa and page.info["rotation"] == "none" and rotation == "none"
+
+
+def any_ink(mask: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> bool:
+    """Whether there is ink in a box with both its ends, cut off at the borders."""
+    h, w = mask.shape
+    return bool(mask[min(y0, h - 1) : min(y1, h - 1) + 1, min(x0, w - 1) : min(x1, w - 1) + 1].any())
+
+
 def subsample_for(scale: float) -> int:
     if not 0 < scale < 1:
         return 1
@@ -65,16 +95,20 @@ def _centres(n: int, size: int) -> np.ndarray:
     return (np.arange(n) + 0.5) * size / n - 0.5
 
 
-def bilinear(img: np.ndarray, w: int, h: int) -> np.ndarray:
-    """Samples at pixel centres, with 4 fractional bits."""
-    def axis(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip(_centres(n, size), 0, size - 1)
+def bilinear(img: np.ndarray, w: int, h: int, box: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    """Samples at pixel centres, with 4 fractional bits; of a box (x, y, w, h) of the output only."""
+    x, y, bw, bh = box or (0, 0, w, h)
+
+    def axis(n: int, size: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip(_centres(n, size)[first : first + count], 0, size - 1)
         first = np.floor(at).astype(int)
         return first, np.minimum(first + 1, size - 1), np.floor((at - first) * 16).astype(int)
 
-    y0, y1, fy = axis(h, img.shape[0])
-    x0, x1, fx = axis(w, img.shape[1])
-    a = img.astype(np.int32)
+    y0, y1, fy = axis(h, img.shape[0], y, bh)
+    x0, x1, fx = axis(w, img.shape[1], x, bw)
+    top_row, left = (int(y0.min()), int(x0.min())) if len(y0) and len(x0) else (0, 0)
+    a = img[top_row : (int(y1.max()) if len(y1) else 0) + 1, left : (int(x1.max()) if len(x1) else 0) + 1].astype(np.int32)
+    y0, y1, x0, x1 = y0 - top_row, y1 - top_row, x0 - left, x1 - left
     fx = fx.reshape(1, -1, *[1] * (img.ndim - 2))
     fy = fy.reshape(-1, 1, *[1] * (img.ndim - 2))
     top = a[y0][:, x0] * (16 - fx) + a[y0][:, x1] * fx
@@ -141,36 +175,62 @@ def luma(rgb: np.ndarray) -> np.ndarray:
 
 
 # -- rendering --------------------------------------------------------------------
-def render(page: Page, width: int | None = None, height: int | None = None, *, bold: int = 0, aa: bool = False, rotation: str = "none", permissive: bool = False, resampling: str = "bilinear", chunks: int | None = None, mask: bool = True, region: tuple[int, int, int, int] | None = None) -> np.ndarray:
-    """RGB of a page: ink takes its colour (palette, foreground layer or black), the rest the background or white.
-
-    ``chunks`` takes only the first background chunks, ``region`` cuts (x, y, w, h) of the output;
-    anti-aliasing halves the size; rotation adds to the page's own."""
-    info = page.info
-    pw, ph = info["width"], info["height"]
-    w, h = width or pw, height or ph
-    scale = min(w / max(pw, 1), h / max(ph, 1))
-    layers = page.all("BG44")
-    layers = layers if chunks is None else layers[:chunks]
-    back = wavelet_layer(layers, subsample_for(scale), permissive)
-    out = bilinear(back, w, h) if back is not None else np.full((h, w, 3), 255, np.uint8)
+def _layers(page: Page, scale: float, chunks: int | None, mask: bool, bold: int, permissive: bool):
+    """Background, mask and symbol numbers of a page, each or None."""
+    if not permissive and unread_layers(page):
+        raise ValueError(f"unsupported layer {unread_layers(page)[0]}")
+    own = page.all("BG44")
+    back = wavelet_layer(own if chunks is None else own[:chunks], subsample_for(scale), permissive)
     try:
         ink = page_mask(page) if mask else None
     except ValueError:
         if not permissive:
             raise
         ink = None
-    if ink is not None:
-        bm, marks = ink
-        bm = dilate(bm, bold) if bold else bm
-        color = _ink_color(page, bm, marks, permissive)
-        if (w, h) == (bm.shape[1], bm.shape[0]):
-            out = np.where(bm[:, :, None] > 0, color, out)
-        else:
-            share = (area_mean(bm * np.uint8(255), w, h) if w < bm.shape[1] else bilinear(bm * np.uint8(255), w, h)).astype(np.int32)[:, :, None]
-            color = area_mean(color, w, h) if w < bm.shape[1] else bilinear(color, w, h)
-            out = ((color * share + out.astype(np.int32) * (255 - share) + 127) // 255).astype(np.uint8)
-    out = gamma_table(info["gamma"])[out]
+    if ink is None:
+        return back, None, None
+    return back, dilate(ink[0], bold) if bold else ink[0], ink[1]
+
+
+def _cut(page: Page, layers: tuple, w: int, h: int, box: tuple[int, int, int, int], permissive: bool) -> np.ndarray:
+    """A box of the output at the mask's own size, from the parts of the layers under it."""
+    back, bm, marks = layers
+    x, y, bw, bh = box
+    out = bilinear(back, w, h, box) if back is not None else np.full((bh, bw, 3), 255, np.uint8)
+    if bm is not None:
+        color = _ink_color(page, bm, marks, permissive, box)
+        out = np.where(bm[y : y + bh, x : x + bw, None] > 0, color, out)
+    return gamma_table(page.info["gamma"])[out]
+
+
+def render(
+    page: Page, width: int | None = None, height: int | None = None, *, bold: int = 0, aa: bool = False, rotation: str = "none", permissive: bool = False,
+    resampling: str = "bilinear", chunks: int | None = None, mask: bool = True, region: tuple[int, int, int, int] | None = None,
+) -> np.ndarray:
+    """RGB of a page: ink takes its colour (palette, foreground layer or black), the rest the background or white.
+
+    ``chunks`` takes only the first background chunks, ``region`` cuts (x, y, w, h) of the output (at the page's own size and
+    upright only that part is composed); anti-aliasing halves the size; rotation adds to the page's own.  A photographic
+    layer is an error unless ``permissive``."""
+    info = page.info
+    pw, ph = info["width"], info["height"]
+    w, h = width or pw, height or ph
+    scale = min(w / max(pw, 1), h / max(ph, 1))
+    layers = _layers(page, scale, chunks, mask, bold, permissive)
+    back, bm, marks = layers
+    same = bm is None or (w, h) == (bm.shape[1], bm.shape[0])
+    if region and same and renders_in_strips(page, w, h, aa, resampling, rotation):
+        x, y, rw, rh = region
+        box = (min(x, w), min(y, h), max(0, min(rw, w - x)), max(0, min(rh, h - y)))
+        return np.ascontiguousarray(_cut(page, layers, w, h, box, permissive))
+    if same:
+        out = _cut(page, layers, w, h, (0, 0, w, h), permissive)
+    else:
+        out = bilinear(back, w, h) if back is not None else np.full((h, w, 3), 255, np.uint8)
+        color, down = _ink_color(page, bm, marks, permissive), w < bm.shape[1]
+        share = (area_mean if down else bilinear)(bm * np.uint8(255), w, h).astype(np.int32)[:, :, None]
+        color = (area_mean if down else bilinear)(color, w, h)
+        out = gamma_table(info["gamma"])[((color * share + out.astype(np.int32) * (255 - share) + 127) // 255).astype(np.uint8)]
     if aa:
         out = half(out)
     if resampling == "lanczos3" and back is not None and scale != 1 and not aa:
@@ -184,12 +244,31 @@ def render(page: Page, width: int | None = None, height: int | None = None, *, b
     return np.ascontiguousarray(out)
 
 
-def _ink_color(page: Page, bm: np.ndarray, marks: np.ndarray, permissive: bool) -> np.ndarray:
+def render_rows(page: Page, rows: int = 64, **options):
+    """Strips of a page from the top, ``rows`` high; where a page renders in strips no more than one is held beside the layers."""
+    w, h = page.info["width"], page.info["height"]
+    if not renders_in_strips(page, w, h) or options:
+        whole = render(page, **options)
+        yield from (whole[y : y + rows] for y in range(0, len(whole), rows))
+        return
+    layers = _layers(page, 1.0, None, True, 0, False)
+    if layers[1] is not None and layers[1].shape != (h, w):
+        whole = render(page)
+        yield from (whole[y : y + rows] for y in range(0, h, rows))
+        return
+    for y in range(0, h, rows):
+        yield _cut(page, layers, w, h, (0, y, w, min(rows, h - y)), False)
+
+
+def _ink_color(page: Page, bm: np.ndarray, marks: np.ndarray, permissive: bool, box: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    """Colours of ink in a box (x, y, w, h) of the mask, or in all of it."""
+    x, y, w, h = box or (0, 0, bm.shape[1], bm.shape[0])
     data = page.first("FGbz")
     if data is not None:
         colors, indices = g4.decode_palette(data, strict=False)
         table = np.array(colors or [(0, 0, 0)], np.uint8)
         index = np.array(indices if indices else [0], np.int64)
+        marks = marks[y : y + h, x : x + w]
         at = np.clip(marks, 0, None)
         pick = np.where((marks >= 0) & (at < len(index)), index[np.minimum(at, len(index) - 1)], 0)
         return table[np.where((pick >= 0) & (pick < len(table)), pick, 0)]
@@ -197,10 +276,10 @@ def _ink_color(page: Page, bm: np.ndarray, marks: np.ndarray, permissive: bool)
     if front is not None:
         # A foreground layer is a grid of cells of whole pixels across, and of the plane's ratio down.
         cell = -(-bm.shape[1] // front.shape[1])
-        ys = np.minimum(np.arange(bm.shape[0]) * front.shape[0] // bm.shape[0], front.shape[0] - 1)
-        xs = np.minimum(np.arange(bm.shape[1]) // cell, front.shape[1] - 1)
+        ys = np.minimum(np.arange(y, y + h) * front.shape[0] // bm.shape[0], front.shape[0] - 1)
+        xs = np.minimum(np.arange(x, x + w) // cell, front.shape[1] - 1)
         return front[ys][:, xs]
-    return np.zeros((*bm.shape, 3), np.uint8)
+    return np.zeros((h, w, 3), np.uint8)
 
 
 def progressive(page: Page, **options) -> list[np.ndarray]:
@@ -238,13 +317,18 @@ def segment(rgb: np.ndarray, threshold: int = 128, subsample: int = 12, method:
     known = n > 0
     if not known.any():
         return mask, np.full((bh, bw, 3), 255, np.uint8)
-    while inpaint and not known.all():  # rings of growing distance
-        t, m = np.pad(mean * known[:, :, None], ((1, 1), (1, 1), (0, 0))), np.pad(known.astype(np.int64), 1)
-        near_t = sum(t[1 + a : 1 + a + bh, 1 + b : 1 + b + bw] for a in (-1, 0, 1) for b in (-1, 0, 1))
-        near_n = sum(m[1 + a : 1 + a + bh, 1 + b : 1 + b + bw] for a in (-1, 0, 1) for b in (-1, 0, 1))
-        new = ~known & (near_n > 0)
-        mean[new] = near_t[new] // near_n[new][:, None]
-        known |= new
+    if inpaint and not known.all():  # pixels without ink of the nearest ring of blocks that has any
+        sums = np.zeros((bh + 1, bw + 1, 4), np.int64)
+        sums[1:, 1:] = np.concatenate([total, n[:, :, None]], axis=2).cumsum(axis=0).cumsum(axis=1)
+        ys, xs = np.nonzero(~known)
+        for r in range(1, max(bh, bw) + 1):
+            y0, y1, x0, x1 = np.maximum(ys - r, 0), np.minimum(ys + r + 1, bh), np.maximum(xs - r, 0), np.minimum(xs + r + 1, bw)
+            box = sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0]  # nothing lies within the ring
+            hit = box[:, 3] > 0
+            mean[ys[hit], xs[hit]] = box[hit, :3] // box[hit, 3:]
+            ys, xs = ys[~hit], xs[~hit]
+            if not len(ys):
+                break
     return mask, mean.astype(np.uint8)
 
 

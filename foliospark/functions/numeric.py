@@ -63,6 +63,22 @@ def index_bytes(count: Column) -> Column:
     return F.ceil(F.length(F.bin(F.greatest(count, F.lit(1)))) / 8).cast("long")
 
 
+def symbol_bytes(w: Column, h: Column) -> Column:
+    """About what a symbol takes in full: rows of whole bytes and a head of 3."""
+    return (F.floor((w + 7) / 8) * h + 3).cast("long")
+
+
+def refined_bytes(distance: Column, count: Column) -> Column:
+    """About what a symbol takes as a change of one of ``count`` others of another size: a head of 5, the number, the pixels."""
+    return 5 + index_bytes(count) + packed_bytes(distance)
+
+
+def rgb_to_ycbcr(r: Column, g: Column, b: Column) -> Column:
+    """Levels of the wavelet planes of a colour, as the coder takes them: a luma of weights 1, 2, 1 and differences to green."""
+    y = F.shiftright(r + F.shiftleft(g, 1) + b, 2) - 128
+    return F.struct(clamp(y, -128, 127).alias("y"), clamp(b - g, -256, 255).alias("cb"), clamp(r - g, -256, 255).alias("cr"))
+
+
 def parse_hex_color(c: Column) -> Column:
     """struct<r, g, b> of ``#rrggbb`` (the # may lack), else null."""
     body = F.regexp_replace(c, "^#", "")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import numeric as N
+
 
 def with_dictionary(pages: DataFrame, dictionaries: DataFrame, include: str, name: str, strict: bool = False) -> DataFrame:
     """Pages with their shared dictionary by trimmed name; a miss is null, or with ``strict`` an error text.
@@ -90,3 +92,18 @@ def unlike_size_nearest(symbols: DataFrame, most: int) -> DataFrame:
     pairs = pairs.withColumn("distance", apart("w", "h", "data", "nw", "nh", "ndata"))
     best = pairs.groupBy("doc_id", "sym_idx").agg(F.min(F.struct("distance", "near")).alias("m"))
     return best.select("doc_id", "sym_idx", F.col("m.near").alias("near"), F.col("m.distance").alias("distance"))
+
+
+def refinement_totals(symbols: DataFrame, most: int, share: float, least_pixels: int = 32) -> DataFrame:
+    """Of each document: distinct symbols, those large enough, those with an earlier symbol of another size near (see
+    ``unlike_size_nearest``), those within ``share`` of their pixels, and the bytes that refinement would change."""
+    near = unlike_size_nearest(symbols, most).select("doc_id", "sym_idx", "distance")
+    pixels = F.col("w") * F.col("h")
+    rows = symbols.join(near, ["doc_id", "sym_idx"], "left").withColumn("large", pixels >= least_pixels)
+    rows = rows.withColumn("candidate", F.col("large") & F.col("distance").isNotNull())
+    rows = rows.withColumn("match", F.col("candidate") & (F.col("distance") <= F.round(pixels * share)))
+    change = N.refined_bytes(F.col("distance"), F.col("sym_idx")) - N.symbol_bytes(F.col("w"), F.col("h"))
+    return rows.groupBy("doc_id").agg(
+        F.count("*").alias("symbols"), F.count_if("large").alias("eligible"), F.count_if("candidate").alias("candidates"), F.count_if("match").alias("matches"),
+        F.coalesce(F.sum(F.when(F.col("match"), change)), F.lit(0)).alias("byte_change"),
+    )

@@ -19,6 +19,25 @@ class Recognizer(Protocol):
     def recognize(self, rgb: np.ndarray, languages: str, dpi: int) -> tuple[str, list[dict]]: ...
 
 
+#: Recognisers that users know by name; they need programs or models that are not part of this package.
+NAMED = ("tesseract", "onnx", "candle")
+
+
+def backend(name: str) -> Recognizer:
+    """A recogniser by name; a defined error, since none comes with this package (give ``recognize`` one of your own)."""
+    if name in NAMED:
+        raise ValueError(f"recogniser {name} is not available here")
+    raise ValueError(f"unknown recogniser {name}; known are {', '.join(NAMED)}")
+
+
+def recognize_document(data: bytes, own: Recognizer, languages: str, dpi: int) -> bytes:
+    """A document with the text that a recogniser finds on its pages."""
+    for i, page in enumerate(container.read(data).pages):
+        text, zones = own.recognize(raster.render(page), languages, dpi)
+        data = container.put_layer(data, i, "TXT", bzz.encode(layers.write_text(text, zones, page.info["height"])))
+    return data
+
+
 def greedy_decode(scores: np.ndarray, alphabet: str, blank: int = 0) -> str:
     """Best symbol of each step, without repeats and blanks; symbol i > 0 is alphabet[i - 1]."""
     best = scores.argmax(axis=1)
@@ -34,7 +53,7 @@ def bounding_box(zones: list[dict]) -> tuple[int, int, int, int]:
 
 
 def recognize(files: DataFrame, make: Callable[[], Recognizer], languages: str = "eng", dpi: int = 300) -> DataFrame:
-    """path, content of each document with recognised text layers; ``error`` where a page failed (the page stays as it is)."""
+    """path, content of each document with recognised text layers; ``error`` where a page failed (the document stays as it is)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = make()
@@ -43,9 +62,7 @@ def recognize(files: DataFrame, make: Callable[[], Recognizer], languages: str =
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 error = None
                 try:
-                    for i, page in enumerate(container.read(data).pages):
-                        text, zones = own.recognize(raster.render(page), languages, dpi)
-                        data = container.put_layer(data, i, "TXT", bzz.encode(layers.write_text(text, zones, page.info["height"])))
+                    data = recognize_document(data, own, languages, dpi)
                 except (ValueError, IndexError) as e:
                     error = str(e)[:300]
                 paths.append(path)

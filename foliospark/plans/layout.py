@@ -42,8 +42,8 @@ def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c = map(F.col, "abc")
     rgb = N.ycbcr_to_rgb(a - 128, b - 128, c - 128)
     hexed = N.parse_hex_color(F.concat(F.lit("#"), *[F.lpad(F.hex(x), 2, "0") for x in (a, b, c)]))
-    out = p.select("p_partkey", N.luma(a, b, c).alias("luma"), rgb.alias("rgb"), hexed.alias("hx"), N.normalize((a - 128) * (b + 1)).alias("norm"))
-    return out.select("p_partkey", F.col("luma").cast("long").alias("luma"), *[F.col(f"rgb.{x}").cast("long").alias(x) for x in "rgb"], F.col("hx.g").cast("long").alias("hex_g"), F.col("norm").cast("long").alias("norm"))
+    out = p.select("p_partkey", N.luma(a, b, c).alias("luma"), rgb.alias("rgb"), hexed.alias("hx"), N.normalize((a - 128) * (b + 1)).alias("norm"), N.rgb_to_ycbcr(a, b, c).alias("yc"))
+    return out.select("p_partkey", F.col("luma").cast("long").alias("luma"), *[F.col(f"rgb.{x}").cast("long").alias(x) for x in "rgb"], F.col("hx.g").cast("long").alias("hex_g"), *[F.col(f"yc.{x}").cast("long").alias(f"to_{x}") for x in ("y", "cb", "cr")], F.col("norm").cast("long").alias("norm"))
 
 
 def gamma_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ select p_partkey, (['none', 'cw90', 'rot180', 'ccw90'])[(s + 1) % 4 + 1] as turn
 with v as (select *, a - 128 as y, b - 128 as cb, c - 128 as cr from {_P}),
 t as (select *, cr + (cr >> 1) as t1, y + 128 - (cb >> 2) as t2 from v)
 select p_partkey, (306 * a + 601 * b + 117 * c) >> 10 as luma, least(greatest(y + 128 + t1, 0), 255) as r, least(greatest(t2 - (t1 >> 1), 0), 255) as g,
-  least(greatest(t2 + cb * 2, 0), 255) as b, b as hex_g, least(greatest(((a - 128) * (b + 1) + 32) >> 6, -128), 127) as norm from t""",
+  least(greatest(t2 + cb * 2, 0), 255) as b, b as hex_g, ((a + 2 * b + c) >> 2) - 128 as to_y, c - b as to_cb, a - b as to_cr, least(greatest(((a - 128) * (b + 1) + 32) >> 6, -128), 127) as norm from t""",
     "gamma_tables": """
 with n as (select n_nationkey, ((n_nationkey + 10) / 10.0)::double / 2.2::double as p from nation)
 select n_nationkey, level, cast(case when abs(p - 1) < 1e-4 then level else least(greatest(floor(255.0 * pow(level / 255.0::double, p) + 0.5), 0), 255) end as bigint) as out

@@ -83,8 +83,12 @@ def pdf(pages: list[dict], bookmarks: list[dict] | None = None, output_dpi: int
         dpi = p["dpi"] or 300
         w, h = p["width"] * 72 / dpi, p["height"] * 72 / dpi
         content, images = "", ""
-        rgb = p.get("rgb")
-        if rgb is not None:
+        rgb, mask = p.get("rgb"), p.get("mask") if p.get("bilevel") else None
+        if mask is not None:  # a page of ink alone: one bit a pixel at its own size
+            head = f"/Type /XObject /Subtype /Image /Width {mask.shape[1]} /Height {mask.shape[0]} /ImageMask true /BitsPerComponent 1 /Decode [1 0]"
+            image = o.stream(head, np.packbits(mask, axis=1).tobytes())
+            content, images = f"q 0 g {w:.4f} 0 0 {h:.4f} 0 0 cm /Im0 Do Q\n", f"/XObject << /Im0 {image} 0 R >>"
+        elif rgb is not None:
             if output_dpi and output_dpi < dpi:
                 size = max(1, round(p["width"] * output_dpi / dpi)), max(1, round(p["height"] * output_dpi / dpi))
                 if size[0] < rgb.shape[1]:

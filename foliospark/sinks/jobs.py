@@ -75,7 +75,9 @@ def export(df: DataFrame, kind: str, dpi: int | None = None, **options) -> DataF
             except ValueError:
                 areas = []
             links = [(a["url"], *_box(a)) for a in areas if a["url"]]
-            own.append({**page.info, "rgb": raster.read_png(bytes(r.png)) if r.png is not None else None, "zones": zones, "links": links, "paragraphs": text.split("\n")})
+            bilevel = kind == "pdf" and page.info["rotation"] == "none" and raster.is_bilevel(page)
+            ink = {"bilevel": True, "mask": raster.page_mask(page)[0]} if bilevel and r.png is not None else {}
+            own.append({**page.info, **ink, "rgb": raster.read_png(bytes(r.png)) if r.png is not None else None, "zones": zones, "links": links, "paragraphs": text.split("\n")})
         build = {"pdf": lambda: files.pdf(own, doc.bookmarks, dpi or 150), "epub": lambda: files.epub(own, doc.bookmarks, **options), "tiff": lambda: files.tiff(own, **options), "cbz": lambda: files.cbz(own)}
         return pd.DataFrame({"path": [key[0]], "file": [build[kind]()]})
 

@@ -174,6 +174,38 @@ def with_parts(index_files: DataFrame, part_files: DataFrame) -> DataFrame:
     return joined.select("path", "comp_idx", "comp_id", "comp_type", "part", F.when(F.col("part").isNull(), F.concat(F.lit("unresolved component "), "comp_id")).alias("error"))
 
 
+def assembled(index_files: DataFrame, part_files: DataFrame) -> DataFrame:
+    """path, content, error: indirect documents as bundles that every reader here takes; one that lacks a part is an error.
+
+    The parts of one document meet in one row, as its file would hold them."""
+    parts = F.array_sort(F.collect_list(F.struct("comp_idx", "comp_type", "comp_id", "part")))
+    found = with_parts(index_files, part_files).groupBy("path").agg(parts.alias("parts"), F.first("error", ignorenulls=True).alias("error"))
+
+    @F.pandas_udf("binary")
+    def bundle(rows: pd.Series) -> pd.Series:
+        def one(parts) -> bytes | None:
+            if any(p["part"] is None for p in parts):
+                return None
+            return container.bundle([(p["comp_type"], p["comp_id"], iff.parse(bytes(p["part"]))) for p in parts])
+
+        return rows.map(one)
+
+    return found.select("path", bundle("parts").alias("content"), "error")
+
+
+def thumbnails(df: DataFrame) -> DataFrame:
+    """path, page_index, png of the pages that carry a small image."""
+    from foliospark.codecs import raster
+
+    def read(_: str, data: bytes) -> Iterator[dict]:
+        for i, p in enumerate(container.read(data).pages):
+            small = raster.thumbnail(p)
+            if small is not None:
+                yield {"page_index": i, "width": small.shape[1], "height": small.shape[0], "png": raster.write_png(small)}
+
+    return rows_of(df, "path string, page_index int, width int, height int, png binary, error string", read)
+
+
 def page_bytes(df: DataFrame, index: DataFrame) -> DataFrame:
     """The bytes of indexed pages only (path, page_index, byte_start, byte_end), cut out in the JVM."""
     own = df.join(index.select("path", "page_index", "byte_start", "byte_end"), "path")
