@@ -229,6 +229,11 @@ def test_schedule_of_a_long_phase():
     assert sum(seen.values()) > 50_000
 
 
+def test_equal_weights_take_turns_by_name():
+    order = [k for k, *_ in mixing.schedule({"b": 3, "a": 3, "c": 3}, {"a": 1, "b": 1, "c": 1})]
+    assert order == ["a", "b", "c"] * 3
+
+
 # -- 5: language ------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def languages(spark):
@@ -248,6 +253,73 @@ def test_language_accuracy_and_edge_cases(spark, languages):
     assert [r["lang_pred"] for r in language.identify(odd.where("doc_id = 4"), None).collect()] == ["und", "und"]
 
 
+def test_language_query_equals_brute_force(spark):
+    """The whole query against counts and a full recursion written plainly."""
+    import re
+    import zlib
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
+    cut = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows}
+    count, scripts = {}, {}
+    for r in rows:
+        if not held[r["doc_id"]] and r["text"] is not None and r["lang"] is not None:
+            for w in cut(r["text"]):
+                scripts.setdefault(language.script(w), {}).setdefault(r["lang"], 0)
+                scripts[language.script(w)][r["lang"]] += 1
+                for i in range(len(w)):
+                    g = f"^{w}$"[i : i + 3]
+                    count.setdefault(g, {}).setdefault(r["lang"], 0)
+                    count[g][r["lang"]] += 1
+    langs = sorted({r["lang"] for r in rows if not held[r["doc_id"]] and r["lang"] and r["text"] is not None})
+    total = {k: sum(c.get(k, 0) + 0.5 for c in count.values()) + 0.5 for k in langs}
+    most = {k: sum(s.get(k, 0) for s in scripts.values()) for k in langs}
+
+    def score(w, k):
+        own = sum(math.log((count.get(f"^{w}$"[i : i + 3], {}).get(k, 0) + 0.5) / total[k]) for i in range(len(w)))
+        s = scripts.get(language.script(w))
+        return own - 1000 * (s is not None and s.get(k, 0) / max(1, most[k]) < 0.01)
+
+    known = {}
+    want = {}
+    for r in rows:
+        words = cut(r["text"])
+        if not words:
+            want[r["doc_id"]] = ("und", 0.0)
+            continue
+        s = [known.setdefault(w, [score(w, k) for k in langs]) for w in words]
+        value, back = list(s[0]), []
+        for x in s[1:]:
+            top = max(range(len(langs)), key=lambda i: value[i])
+            step = [i if value[i] >= value[top] - 20.0 else top for i in range(len(langs))]
+            back.append(step)
+            value = [max(value[i], value[top] - 20.0) + x[i] for i in range(len(langs))]
+        path = [max(range(len(langs)), key=lambda i: value[i])]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        letters = [0] * len(langs)
+        for i, w in zip(reversed(path), words, strict=True):
+            letters[i] += len(w)
+        best = max(range(len(langs)), key=lambda i: letters[i])
+        want[r["doc_id"]] = (langs[best], letters[best] / sum(letters))
+    got = {r["doc_id"]: r for r in entries.op5_language(spark, DATA).collect()}
+    assert {i: r["held_out"] for i, r in got.items()} == held
+    assert {i: r["lang_pred"] for i, r in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(math.isclose(r["score"], want[i][1], abs_tol=1e-9) for i, r in got.items())
+
+
+def test_language_of_very_long_and_tied_texts(spark, languages):
+    model = language.fit(languages)
+    odd = spark.createDataFrame([(1, "the and of " * 100_000, 5, "x"), (2, "x" * 200_000, 6, "y")], "doc_id long, text string, score int, lang_pred string")
+    rows = {r["doc_id"]: r for r in language.identify(odd, model).collect()}
+    assert rows[1]["lang_pred"] == "en" and rows[1]["score"] == 1 and rows[2]["lang_pred"] in model.langs
+    even = language.LanguageModel(["a", "b"], {}, np.zeros((1, 2)), {}, 20.0)
+    assert [g[:2] for g in even.label([["x", "y"]])] == [("a", 1.0)]
+    assert language.identify(odd.where("false"), model).count() == 0
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(languages, max_langs=2)
+
+
 def test_language_learns_nothing_from_held_out_rows(languages):
     poisoned = languages.withColumn("lang", F.when(language.held_out(), "zz").otherwise(F.col("lang")))
     assert "zz" not in language.fit(poisoned).langs

@@ -251,6 +251,19 @@ def test_jaccard(docs, empty, words, percent, block, broadcast):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_large_groups_of_near_copies_in_small_blocks(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(900):  # one word of each is its own
+        words = list(base)
+        words[rng.randrange(150)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(100)) + " " + " ".join(base[:30])) for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, block=64).collect()}
+    assert got == {i: 0 if i < 900 else i for i, _ in rows}
+
+
 def test_one_row_of_each_component_stays(docs, empty):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     twice = docs.unionByName(docs.where("doc_id is null or doc_id in (3, 7)")).unionByName(docs.where("doc_id = 8").selectExpr("9L as doc_id", "text", "lang", "source", "h", "k"))
