@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import materialize
+from foliospark.llm.common import materialize, per_task
 
 
 class Forest:
@@ -57,17 +57,38 @@ def contract(links: DataFrame) -> DataFrame:
                 forest = Forest()
         yield out(forest)
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(per_task(run), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links (after contraction) that one task joins by itself, in some 100 MB.
+AT_ONCE = 500_000
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """node, component of all links in one task; their number was counted before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                forest.union(a, b)
+        nodes = list(forest.up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+    return materialize(edges.coalesce(1).mapInArrow(per_task(run), "node long, component long"))
+
+
+def components(links: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """node, component (the smallest id reachable) of every id in links (a, b).
 
-    Labels point to smaller ids of the same component.  Each round takes for every node the least label's label
+    Partitions are first contracted to forests.  Up to ``at_once`` links that are left (counted) are joined by one task.
+    Beyond, labels point to smaller ids of the same component.  Each round takes for every node the least label's label
     among its neighbours, for the node itself and for the one that it points to, so whole trees hook to smaller
     ones, and then the label's own label, so trees grow flat by doubling.  Rounds go on until nothing changes.
     Labels live in the shared folder between rounds; aggregations are partial, so a node of many links is no hot spot."""
     edges = materialize(contract(links).where("a <> b").distinct())
+    if edges.count() <= at_once:
+        return _joined(edges)
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
     while True:

@@ -14,7 +14,8 @@ DATA = "/root/testdata/sf0.001"
 
 
 # -- components -------------------------------------------------------------------
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 500_000])
+def test_components(spark, at_once):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 300)]
     up = {x: x for e in links for x in e}
@@ -27,7 +28,7 @@ def test_components(spark):
     for a, b in links:
         p, q = sorted((find(a), find(b)))
         up[q] = p
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(7), at_once).collect()}
     assert all(got.get(x, x) == find(x) for x in up)
 
 
@@ -35,7 +36,7 @@ def test_components_of_a_long_chain(spark):
     ids = list(range(1000))
     random.Random(5).shuffle(ids)
     chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long").repartition(16)
-    got = {r["node"]: r["component"] for r in components.components(chain).collect()}
+    got = {r["node"]: r["component"] for r in components.components(chain, at_once=0).collect()}
     assert got == dict.fromkeys(range(1000), 0)
 
 
