@@ -32,7 +32,7 @@ from foliospark.llm.common import BROADCAST_BYTES, materialize, per_task, stored
 #: Rows that a broadcast side may have (about 60 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Units of the smallest document that share a shard, and symbols a kernel takes at once.
-NEAR, BATCH = 4096, 1_000_000
+NEAR, BATCH = 4096, 400_000
 CHUNK = 1 << 22
 LAST_ID = (1 << 63) - 1
 

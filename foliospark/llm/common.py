@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of files that a broadcast side may have, whatever its rows.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a batch of rows on its way to a Python worker: the executor, the pipe and the worker hold it at the same time,
+#: and Spark's own 64 MB would outweigh all that a task needs besides.  A longer row is a batch by itself.
+BATCH_BYTES, BATCHES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +64,12 @@ def stored_bytes(df: DataFrame) -> int:
 
 
 def per_task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run`` as a task whose memory goes back to the system at its end, though the worker process lives on."""
+    """``run`` as a task whose memory goes back to the system at its end, though the worker process lives on.
+
+    Batches that it gets have up to ``BATCH_BYTES``, unless the session names a number of its own."""
+    spark = SparkSession.getActiveSession()
+    if spark and not spark.conf.get(BATCHES, None):
+        spark.conf.set(BATCHES, BATCH_BYTES)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models
 
@@ -332,3 +333,24 @@ def test_points_of_unlike_sizes_and_known_components():
     some = jaccard.may_link(n, bodies, np.arange(len(n)), 80)
     assert near and all(some[a] == some[b] >= 0 for a, b in near)
     assert (jaccard.may_link(n, bodies, np.zeros(len(n)), 80) < 0).all() and not jaccard.link_bucket(sets, 80, np.zeros(len(n)))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from foliospark.llm.common import BATCH_BYTES, BATCHES, per_task
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    before = spark.conf.get(BATCHES, None)
+    try:
+        spark.conf.unset(BATCHES)
+        table = spark.range(0, 3000, 1, 1).selectExpr("repeat('abcd', case when id % 1000 = 0 then 2000000 else 1000 end) text")
+        got = table.mapInArrow(per_task(sizes), "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in got) == 3000  # longer rows are not lost
+        assert all(r["bytes"] <= BATCH_BYTES + 8_000_100 for r in got) and len(got) > 3
+        spark.conf.set(BATCHES, "16m")
+        per_task(sizes)
+        assert spark.conf.get(BATCHES) == "16m"
+    finally:
+        spark.conf.unset(BATCHES) if before is None else spark.conf.set(BATCHES, before)
