@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import struct
 from collections import defaultdict
@@ -78,10 +79,23 @@ def test_counts_with_fractions_and_ties():
         assert c.count(text)[0] == len(lib.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids)
 
 
+def test_counts_of_whole_texts_with_fractional_scores(texts):
+    """All pieces of the vocabulary with scores as of a unigram model: negative logarithms that follow no merge order."""
+    pieces = [p for p, _ in counting.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))]
+    v = [(p, -math.log(i + 2) - 0.37 * len(p) % 1) for i, p in enumerate(pieces)]
+    c, lib = counting.UnigramCounter(v), Tokenizer(models.Unigram(v, unk_id=0, byte_fallback=True))
+    assert not c.cut
+    for text in [*texts, "señal 漢字😀 " * 50]:
+        assert c.count(text)[0] == (len(lib.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids) if text else 0)
+
+
 def test_count_rows(docs, empty, texts):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = {r["doc_id"]: r["n_tokens"] for r in counting.token_counts(docs, path).collect()}
-    assert len(got) == len(texts) + 1 and got[texts.index(None)] == 0 and got[0] > 0
+    lib = Tokenizer(models.Unigram(counting.sentencepiece_vocabulary(path), unk_id=0, byte_fallback=True))
+    assert len(got) == len(texts) + 1 and got[texts.index(None)] == 0
+    for i, text in enumerate(texts):
+        assert got[i] == (len(lib.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids) if text else 0)
     assert counting.token_counts(empty, path).count() == 0
 
 
