@@ -250,10 +250,35 @@ def index_file(entries: list[tuple[str, str]]) -> bytes:
     return iff.emit(iff.form("DJVM", Chunk("DIRM", write_directory([Entry(k, i) for k, i in entries], bundled=False))))
 
 
+def spliced(data: bytes, root: Chunk, names: tuple[str, ...], chunk: Chunk | None) -> bytes:
+    """The file with ``chunk`` in place of the root's children of these names (at its end if there are none; None removes them).
+
+    All other bytes stay as they are, whatever stands in pad bytes or after the form."""
+    end = min(root.offset + 8 + root.length, len(data))
+    first = root.offset + 12
+    body, put = data[first - 4 : first], chunk
+    for c in root.children:
+        stop = min(c.offset + 8 + c.length + (c.length & 1), end)
+        if c.id not in names:
+            part = data[c.offset : stop]
+        else:
+            part, put = iff.emit_chunk(put) if put else b"", None
+        body += b"\0" * (len(body) & 1) * bool(part) + part
+        first = stop
+    rest = data[first:end]  # too short for a chunk
+    if put:
+        body += b"\0" * (len(body) & 1) + iff.emit_chunk(put)
+    body += rest
+    after = data[end + (end - root.offset & 1) :]
+    pad = data[end : end + 1] if end - root.offset & 1 else b"\0"
+    return data[: root.offset + 4] + len(body).to_bytes(4, "big") + body + (pad if len(body) & 1 else b"") + after
+
+
 def put_layer(data: bytes, page: int, base: str, payload: bytes) -> bytes:
     """Sets or removes (empty payload) the ``base`` layer of a page: the compressed form replaces a plain one.
 
-    A file without a change to make comes back as it is."""
+    A file without a change to make comes back as it is; of a single page only the bytes of this layer and the length of
+    the form change."""
     parts = _parts(data)
     at = [i for i, p in enumerate(parts) if p[0] == "page"][page]
     kind, id_, form = parts[at]
@@ -261,6 +286,9 @@ def put_layer(data: bytes, page: int, base: str, payload: bytes) -> bytes:
     old = next((c for c in form.children if c.id in names), None)
     if old is None and not payload or old is not None and old.id == names[0] and old.data == payload:
         return data
+    root = iff.parse(data)
+    if root.kind == "DJVU":
+        return spliced(data, root, names, Chunk(names[0], payload) if payload else None)
     own, done = [], False
     for c in form.children:
         if c.id not in names:
@@ -271,9 +299,6 @@ def put_layer(data: bytes, page: int, base: str, payload: bytes) -> bytes:
     if payload and not done:
         own.append(Chunk(names[0], payload))
     parts[at] = (kind, id_, Chunk("FORM", b"", form.kind, own))
-    root = iff.parse(data)
-    if root.kind == "DJVU":
-        return iff.emit(parts[0][2])
     marks = root.find("NAVM")
     return bundle(parts, marks.data if marks else None)
 

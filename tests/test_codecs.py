@@ -303,3 +303,25 @@ def test_junk_never_hangs():
                 read(data)
             except (ValueError, IndexError):
                 pass
+
+
+def test_single_page_edits_touch_no_other_byte():
+    def chunk(id_, body, pad=b"\7"):
+        return id_ + len(body).to_bytes(4, "big") + body + pad * (len(body) & 1)
+
+    head, odd = chunk(b"INFO", bytes([0, 90, 0, 60, 24, 0, 44, 1, 22, 1])), chunk(b"XYZW", b"odd")
+    text, last = bzz.encode(b"\0\0\2me\1"), chunk(b"QQQQ", b"1", b"")
+
+    def page(*parts, tail=b"\7after"):
+        body = b"DJVU" + b"".join(parts)
+        return b"AT&TFORM" + len(body).to_bytes(4, "big") + body + tail
+
+    new = iff.emit_chunk(iff.Chunk("TXTz", text))
+    before = page(head, odd, chunk(b"TXTa", b"\0\0\1x\1"), last)  # the form's length is odd: its pad byte follows
+    after = container.put_layer(before, 0, "TXT", text)
+    assert after == page(head, odd, new, last)
+    assert container.read(after).pages[0].first("TXTz") == text
+    gone = container.put_layer(after, 0, "TXT", b"")
+    assert gone == page(head, odd, last)
+    assert container.put_layer(gone, 0, "TXT", text) == page(head, odd, last, b"\0", new, tail=b"after")
+    assert container.put_layer(gone, 0, "ANT", b"") == gone
