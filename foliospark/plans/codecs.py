@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,22 +168,32 @@ def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bookmark_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A region's nations as bookmarks of one document, its first nation's suppliers below them: written and read back."""
+    """A region's nations as bookmarks of one document, its first nation's suppliers below them: written and read back.
+
+    A node of the format has 255 children at most, a nation any number: a document is kept in volumes."""
     n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc"), F.struct(F.lit(0).alias("level"), F.col("n_nationkey").cast("long").alias("key"), F.lit(None).cast("long").alias("up"), F.col("n_name").alias("title")).alias("b"))
     below = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     below = below.select(F.col("n_regionkey").alias("doc"), F.struct(F.lit(1).alias("level"), F.col("s_suppkey").cast("long").alias("key"), F.col("n_nationkey").cast("long").alias("up"), F.col("s_name").alias("title")).alias("b"))
     docs = n.unionByName(below).groupBy("doc").agg(F.array_sort(F.collect_list("b")).alias("rows"))
 
-    def run(docs: list) -> list[tuple]:
-        out = []
-        for rows in docs:
-            marks = [{"node_id": (r["level"], r["key"]), "parent_id": (0, r["up"]) if r["up"] is not None else None, "sibling_ord": r["key"], "title": r["title"], "url": f"#{r['key']}"} for r in rows]
-            part = ("page", "p0000.djvu", iff.form("DJVU", iff.Chunk("INFO", container.write_info(10, 10, 300))))
-            out.append((container.bundle([part], container.write_bookmarks(marks)),))
-        return out
-
-    files = _kernels(docs.select(F.col("doc").cast("string").alias("path"), "rows"), "path string, content binary", run)
-    return D.bookmarks(files).select("path", *[F.col(c).cast("long").alias(c) for c in ("node_id", "depth", "sibling_ord")], "title", "url", "error")
+    def volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                marks = [{"node_id": (r["level"], r["key"]), "parent_id": (0, r["up"]) if r["up"] is not None else None, "sibling_ord": r["key"], "title": r["title"], "url": f"#{r['key']}"} for r in rows]
+                for v in container.bookmark_volumes(marks):
+                    columns = [pa.array([path], pa.string()), pa.array([v["raw"]], pa.binary()), pa.array([v["start"]], pa.int64()), *(pa.array([v[c]], pa.list_(pa.int64())) for c in ("chain", "first"))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "raw", "start", "chain", "first"])
+
+    @F.pandas_udf("binary")
+    def files(raw: pd.Series) -> pd.Series:
+        part = ("page", "p0000.djvu", iff.form("DJVU", iff.Chunk("INFO", container.write_info(10, 10, 300))))
+        return raw.map(lambda r: container.bundle([part], bzz.encode(r)))
+
+    # Volumes are few bytes and long work: without a number of partitions they would be one task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(F.col("doc").cast("string").alias("path"), "rows").mapInArrow(volumes, "path string, raw binary, start long, chain array<long>, first array<long>")
+    found = D.volume_bookmarks(dealt.repartition(parts, "path", "start").withColumn("content", files("raw")))
+    return found.select("path", *[F.col(c).cast("long").alias(c) for c in ("node_id", "depth", "sibling_ord")], "title", "url", "error")
 
 
 def palette_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

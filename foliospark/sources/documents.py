@@ -32,8 +32,8 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
-def rows_of(df: DataFrame, schema: str, read: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
-    """``read`` on each (path, content); an exception becomes the row's error."""
+def rows_of(df: DataFrame, schema: str, read: Callable[..., Iterator[dict]], also: tuple[str, ...] = ()) -> DataFrame:
+    """``read`` on each (path, content, and the columns ``also``); an exception becomes the row's error."""
     types = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,15 +41,15 @@ def rows_of(df: DataFrame, schema: str, read: Callable[[str, bytes], Iterator[di
 
         arrow = to_arrow_schema(types)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, content, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = []
                 try:
-                    out += [{"path": path} | r for r in read(path, content)]
+                    out += [{"path": path} | r for r in read(path, content, *more)]
                 except (ValueError, IndexError, KeyError) as e:
                     out.append({"path": path, "error": f"{type(e).__name__}: {e}"[:300]})
                 yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in out], schema=arrow)
 
-    return df.select("path", "content").mapInArrow(run, types)
+    return df.select("path", "content", *also).mapInArrow(run, types)
 
 
 def chunks(df: DataFrame, depth: int = 16) -> DataFrame:
@@ -108,6 +108,16 @@ def bookmarks(df: DataFrame) -> DataFrame:
     return rows_of(df, BOOKMARKS, lambda _, data: iter(container.read(data).bookmarks))
 
 
+def volume_bookmarks(df: DataFrame) -> DataFrame:
+    """Bookmarks of documents whose trees are kept in volumes (path, content, start, chain, first; see
+    ``container.bookmark_volumes``), a row each, numbered as in the whole tree."""
+
+    def read(_: str, data: bytes, *place) -> Iterator[dict]:
+        return container.volume_rows(container.read(data).bookmarks, *place)
+
+    return rows_of(df, BOOKMARKS, read, ("start", "chain", "first"))
+
+
 def annotations(df: DataFrame) -> DataFrame:
     def read(_: str, data: bytes) -> Iterator[dict]:
         for i, p in enumerate(container.read(data).pages):
