@@ -56,9 +56,9 @@ def directory_offsets(components: DataFrame, owner: list[str], ordinal: str, len
 def merge_renumber(parts: DataFrame, target: str, document: str, page: str) -> DataFrame:
     """Bag union of the pages of documents, in order, with new component names.
 
-    Pages are numbered within their document, and documents by a table of a row each."""
+    Pages are numbered within their document, and documents by a table of a row each; one without a name comes last."""
     docs = parts.groupBy(target, document).agg(F.count("*").alias("__n"))
-    row = Window.partitionBy(target).orderBy(document)
+    row = Window.partitionBy(target).orderBy(F.col(document).asc_nulls_last())
     docs = docs.select(target, document, (F.row_number().over(row) - 1).alias("__doc"), F.coalesce(F.sum("__n").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
     rows = running_sum(parts, [target, document], page, F.lit(1), "__at")
     out = rows.join(docs, same(rows, docs, [target, document]), "left")

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from foliospark import plans
-from foliospark.codecs import bzz, container, iff
+from foliospark.codecs import bzz, container
+from foliospark.operators import chunks
 from tests.test_queries import rows
 
 
@@ -55,3 +56,12 @@ def test_bookmarks_beyond_a_byte(spark, tmp_path):
         supplier="select i as s_suppkey, 'S' || i as s_name, (case when i < 600 then 2 else i % 4 end)::int as s_nationkey from range(1200) r(i)",
     )
     assert len(got) == 1205
+
+
+def test_merged_pages_beyond_four_digits(spark, tmp_path):
+    docs = "select i as doc_id, case when i % 3 > 0 then 'l' || i % 3 end as lang, case when i < 10050 then 'a' else 'b' end as source from range(10100) r(i)"
+    got = against_sql(spark, "merge_renumber", tmp_path, documents=docs)
+    assert got["page_index"].max() == 10_049
+    parts = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = chunks.merge_renumber(parts, "source", "lang", "doc_id").where("source = 'a'").select("component_id")
+    assert names.distinct().count() == 10_050 and names.where("component_id = 'd2p10049.djvu'").count() == 1
