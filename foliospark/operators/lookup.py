@@ -54,14 +54,15 @@ def nearest_symbol(symbols: DataFrame, size: str, bits: str, key: str, budget: i
     choices = F.array(*[F.xxhash64("size", F.lit(i), F.col("bits").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
     # Few bytes make many pairs: without a number of partitions adaptive execution would join them in one task.
     parts = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = unique.select("size", "key", "bits", F.explode(choices).alias("r")).repartition(parts, "r")
-    b = a.select(F.col("size").alias("near_size"), F.col("key").alias("near"), F.col("bits").alias("other"), "r")
+    # Spark takes the rows of ``explode`` to be as few as those before it, and would broadcast them through the driver: joins are by merging.
+    a = unique.where("size is not null").select("size", "key", "bits", F.explode(choices).alias("r")).repartition(parts, "r", "size")
+    b = a.select("r", "size", F.col("key").alias("near"), F.col("bits").alias("other"))
     distance = hamming(F.col("bits"), F.col("other"))
-    pairs = a.join(b, "r").where((F.col("near") < F.col("key")) & (distance <= budget) & F.col("size").eqNullSafe(F.col("near_size")))
+    pairs = a.join(b.hint("merge"), ["r", "size"]).where((F.col("near") < F.col("key")) & (distance <= budget))
     pairs = pairs.select("size", "key", "near", distance.alias("distance"))
     best = pairs.groupBy("size", "key").agg(F.min(F.struct("distance", "near")).alias("m"))
     found = best.select("size", "key", F.col("m.near").alias("near"), F.col("m.distance").alias("distance"))
-    again = rows.join(unique.withColumnRenamed("key", "near"), ["size", "bits"]).where("key <> near")
+    again = rows.join(unique.withColumnRenamed("key", "near").hint("merge"), ["size", "bits"]).where("key <> near")
     return found.unionByName(again.select("size", "key", "near", F.lit(0).alias("distance")))
 
 

@@ -65,3 +65,10 @@ def test_merged_pages_beyond_four_digits(spark, tmp_path):
     parts = spark.read.parquet(f"{tmp_path}/documents.parquet")
     names = chunks.merge_renumber(parts, "source", "lang", "doc_id").where("source = 'a'").select("component_id")
     assert names.distinct().count() == 10_050 and names.where("component_id = 'd2p10049.djvu'").count() == 1
+
+
+def test_nearest_symbols_are_not_broadcast(spark, tmp_path):
+    orders = "select i as o_orderkey, (i * 37 % 700)::bigint as o_custkey, case when i % 9 > 0 then 'p' || i % 3 end as o_orderpriority from range(6000) r(i)"
+    assert len(against_sql(spark, "nearest_symbol", tmp_path, orders=orders))
+    plan = plans.QUERIES["nearest_symbol"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
