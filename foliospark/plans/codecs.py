@@ -54,14 +54,14 @@ def _digest(a: np.ndarray) -> str:
     return hashlib.sha256(np.ascontiguousarray(a, dtype=np.uint8).tobytes()).hexdigest()
 
 
-def _kernels(df: DataFrame, schema: str, run: Callable[[list], list[tuple]]) -> DataFrame:
+def _kernels(df: DataFrame, schema: str, run: Callable[[list], list[tuple]], most: int = 512) -> DataFrame:
     """``run`` on the second column of each slice of a batch; its tuples follow the first column."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
                 got = run(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([g[i] for g in got]) for i in range(len(names) - 1)]], names=names)
 
@@ -140,14 +140,15 @@ def map_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
             kind, n = shapes[r["key"] % 5]
             area = {"url": f"#{r['key'] % 30 + 1}", "description": r["text"], "kind": kind, "coords": [r["key"] % (7 + i) for i in range(n)], "border": "xor" if r["key"] % 2 else None, "highlight": (r["key"] % 256, 2, 3)}
             page = {"background": (1, 2, r["key"] % 256), "zoom": r["key"] % 400, "mode": "color"}
-            out.append((_one_page(iff.Chunk("ANTz", bzz.encode(layers.write_annotations(page, [area]).encode()))),))
-        return out
+            out.append(layers.write_annotations(page, [area]).encode())
+        return [(_one_page(iff.Chunk("ANTz", packed)),) for packed in bzz.encode_many(out)]
 
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.struct(F.col("c_custkey").alias("key"), F.concat(F.lit('a "b" \\c '), "c_name").alias("text")).alias("r"))
-    files = _kernels(rows, "path string, content binary", run)
-    areas = D.mapareas(files).select("path", "url", "description", "kind", F.array_join(F.transform("coords", lambda c: c.cast("string")), ",").alias("coords"), "border", F.col("highlight")[0].cast("long").alias("red"))
-    page = D.annotations(files).select("path", F.col("background")[2].cast("long").alias("blue"), "zoom", "mode")
-    return areas.join(page, "path")
+    # Customers are few bytes and long work: as they are read they would be one task.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    files = _kernels(rows.repartition(parts, "path"), "path string, content binary", run, 4096)
+    areas = D.annotated_areas(files)
+    return areas.select("path", "url", "description", "kind", F.array_join(F.transform("coords", lambda c: c.cast("string")), ",").alias("coords"), "border", F.col("highlight")[0].cast("long").alias("red"), F.col("background")[2].cast("long").alias("blue"), "zoom", "mode")
 
 
 def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

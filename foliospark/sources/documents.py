@@ -139,6 +139,49 @@ def mapareas(df: DataFrame) -> DataFrame:
     return rows_of(df, MAPAREAS, read)
 
 
+def annotated_areas(df: DataFrame, most: int = 4096) -> DataFrame:
+    """Map areas with the settings of their page, in one reading: ``mapareas`` joined with ``annotations`` on path and page.
+
+    The layers of up to ``most`` files are unpacked together."""
+    types = StructType.fromDDL(f"{MAPAREAS.removesuffix(', error string')}, background array<int>, zoom long, mode string, error string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(types)
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in _annotated(*(c.to_pylist() for c in part.columns))], schema=arrow)
+
+    return df.select("path", "content").mapInArrow(run, types)
+
+
+def _annotated(paths: list[str], contents: list[bytes]) -> Iterator[dict]:
+    books: list = []
+    for content in contents:
+        try:
+            books.append([(p.first("ANTz"), p.first("ANTa")) for p in container.read(content).pages])
+        except (ValueError, IndexError, KeyError) as e:
+            books.append(e)
+    unpacked = iter(bzz.decode_many([z for b in books if isinstance(b, list) for z, _ in b if z]))
+    for path, book in zip(paths, books, strict=True):
+        # A packed layer wins, even an empty one, which means nothing.
+        raws = [next(unpacked) if z else None if z is not None else a for z, a in book] if isinstance(book, list) else [book]
+        out = []
+        try:
+            for i, raw in enumerate(raws):
+                if isinstance(raw, Exception):
+                    raise raw
+                page, areas = layers.read_annotations(raw.decode("utf-8", "ignore")) if raw is not None else ({}, [])
+                for n, a in enumerate(areas):
+                    both = {**page, **a}
+                    out.append({"path": path, "page_index": i, "ord": n, **both, **{c: list(both[c]) if both[c] else None for c in ("background", "highlight")}})
+        except (ValueError, IndexError, KeyError) as e:
+            out.append({"path": path, "error": f"{type(e).__name__}: {e}"[:300]})
+        yield from out
+
+
 def hyperlinks(df: DataFrame) -> DataFrame:
     return mapareas(df).where("url <> ''")
 

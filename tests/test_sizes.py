@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 
 from foliospark import plans
-from foliospark.codecs import bzz, container
+from foliospark.codecs import bzz, container, iff
 from foliospark.operators import chunks
+from foliospark.sources import documents as D
 from tests.test_queries import rows
 
 
@@ -72,3 +73,31 @@ def test_nearest_symbols_are_not_broadcast(spark, tmp_path):
     assert len(against_sql(spark, "nearest_symbol", tmp_path, orders=orders))
     plan = plans.QUERIES["nearest_symbol"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_many_small_blocks_are_coded_as_one():
+    rng = np.random.default_rng(4)
+    data = [b"", b"a", b"\0", b"\xff" * 50, b"ab" * 700, bytes(2049), *(rng.integers(0, k, n, dtype=np.uint8).tobytes() for k in (2, 30, 256) for n in rng.integers(1, 300, 9))]
+    packed = bzz.encode_many(data)
+    assert packed == [bzz.encode(d) for d in data] and bzz.decode_many(packed) == data
+    assert isinstance(bzz.decode_many([b"x", packed[4]])[0], ValueError) and bzz.decode_many([]) == bzz.encode_many([]) == []
+
+
+def test_areas_with_their_page(spark):
+    info = iff.Chunk("INFO", container.write_info(100, 200, 300))
+    text = '(background #ff00aa) (zoom 150) (mode color) (maparea "#1" "d" (rect 1 2 3 4) (xor)) (maparea "#2" "" (poly 1 2 3 4 5 6) (hilite #00ff00))'
+    packed, plain = iff.Chunk("ANTz", bzz.encode(text.encode())), iff.Chunk("ANTa", b'(maparea "#3" "" (oval 1 2 3 4))')
+    bad = iff.Chunk("ANTa", b'(maparea "u" "" (blob 1 2))')
+    layered = [[packed], [plain], [iff.Chunk("ANTz", b""), plain], [packed, plain], [], [bad], [iff.Chunk("ANTz", b"x")]]
+    files = [(f"f{i}", bytearray(iff.emit(iff.form("DJVU", info, *cs)))) for i, cs in enumerate(layered)] + [("f9", bytearray(b"nothing"))]
+    df = spark.createDataFrame(files, "path string, content binary")
+    page = D.annotations(df).where("error is null").select("path", "page_index", "background", "zoom", "mode")
+    want = D.mapareas(df).join(page, ["path", "page_index"], "left")
+    got = D.annotated_areas(df)
+    assert rows(got.select(want.columns).toPandas().astype(str)) == rows(want.toPandas().astype(str)) and got.count() == 8
+
+
+def test_few_bytes_are_many_tasks(spark, tmp_path):
+    against_sql(spark, "map_areas", tmp_path, customer="select i as c_custkey, 'Customer ' || i as c_name from range(3000) r(i)")
+    plan = plans.QUERIES["map_areas"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("FileScan") == 1
